@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import kernels as K
 
 SHINGLE, MIN_WORDS, THRESHOLD = 3, 30, 0.7
@@ -32,6 +33,8 @@ SHINGLE, MIN_WORDS, THRESHOLD = 3, 30, 0.7
 #: which a cell is frequent beside the mean, groups of frequent shingles, and the set size
 #: up to which plain prefixes are indexed besides, as too small for the extension.
 CELLS, BLOCK, FREQUENT, GROUPS, TINY = 1 << 21, 1 << 16, 64, 8, 18
+#: Bits of the filter for the texts of candidates (a power of two).
+WANTED = 1 << 23
 
 
 def _sets(batch: pa.RecordBatch, column: str, k: int, min_words: int):
@@ -50,23 +53,35 @@ def _fingerprint(s: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndar
     return K.mix(c[start + count] - c[start] + count.astype(np.uint64)).view(np.int64)
 
 
-def frequency_levels(texts: DataFrame, column: str, k: int, min_words: int) -> bytes:
-    """Level of every sketch cell: 0-7 rare by counts, 8 and above frequent.
+def scan_sets(texts: DataFrame, k: int, min_words: int) -> tuple[DataFrame, bytes]:
+    """One pass over ``texts(id, content)``: the ids with the fingerprints of their sets, and the sketch.
 
-    Counts run over all texts; blocks of the sketch are added up by key in the
-    cluster. What reaches the driver is CELLS bytes whatever the input.
+    The sketch gives the level of every cell: 0-7 rare by counts, 8 and above
+    frequent. Counts run over all texts; blocks of the sketch are added up by key
+    in the cluster. What reaches the driver is CELLS counts whatever the input.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.uint16)
-        for b in K.slices(batches, column):
-            s, _ = _sets(b, column, k, min_words)
+        names = ["block", "counts", "id", "class_id", "n"]
+        id_type = None
+        for b in K.slices(batches, "content"):
+            s, row = _sets(b, "content", k, min_words)
             cell, n = np.unique((s & K.U(CELLS - 1)).astype(np.int64), return_counts=True)
             total[cell] = np.minimum(total[cell].astype(np.int64) + n, 65535)
+            start, n = K.starts_of(row, b.num_rows)
+            has = np.flatnonzero(n)
+            ids = b.column(0).take(pa.array(has))
+            id_type = ids.type
+            none = len(has)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), ids, pa.array(_fingerprint(s, start, n)[has]), pa.array(n[has].astype(np.int32))], names
+            )
         blocks = [i for i in range(CELLS // BLOCK) if total[i * BLOCK : (i + 1) * BLOCK].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(blocks, pa.int32()), pa.array([total[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in blocks], pa.binary())], ["block", "counts"]
-        )
+        if blocks:
+            none = len(blocks)
+            counts = pa.array([total[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in blocks], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), counts, pa.nulls(none, id_type), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32())], names)
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BLOCK, np.int64)
@@ -75,7 +90,9 @@ def frequency_levels(texts: DataFrame, column: str, k: int, min_words: int) -> b
                 total += np.frombuffer(x.as_buffer(), np.uint16)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.uint32).tobytes()], pa.binary())], ["block", "counts"])
 
-    rows = texts.select(column).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    typ = dict(texts.dtypes)["id"]
+    out = materialize(texts.mapInArrow(scan, f"block int, counts binary, id {typ}, class_id bigint, n int"), "sets")
+    rows = out.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
     total = np.zeros(CELLS, np.int64)
     for r in rows:
         total[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.uint32)
@@ -83,7 +100,7 @@ def frequency_levels(texts: DataFrame, column: str, k: int, min_words: int) -> b
     level = np.minimum(7, np.log2(1 + total / (1 + mean)) * 1.5).astype(np.uint8)
     hot = total >= FREQUENT + 2 * mean
     level[hot] = 8 + np.minimum(200, np.log2(np.maximum(1, total[hot])) * 4).astype(np.uint8)
-    return level.tobytes()
+    return out.where("block is null").select("id", "class_id", "n").dropDuplicates(["id", "class_id"]), level.tobytes()
 
 
 def prefix_keys(s: np.ndarray, row: np.ndarray, n_rows: int, level: np.ndarray, t: float):
@@ -131,22 +148,6 @@ def prefix_keys(s: np.ndarray, row: np.ndarray, n_rows: int, level: np.ndarray,
     return np.concatenate(keys), np.concatenate(rows), n
 
 
-def set_classes(texts: DataFrame, id_col: str = "id", column: str = "content", shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, class_id, n)``: each distinct id of a text with enough words, and its set's fingerprint."""
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.slices(batches, column):
-            s, row = _sets(b, column, shingle, min_words)
-            start, n = K.starts_of(row, b.num_rows)
-            has = np.flatnonzero(n)
-            fp = _fingerprint(s, start, n)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(id_col)).take(pa.array(has)), pa.array(fp[has]), pa.array(n[has].astype(np.int32))], ["id", "class_id", "n"])
-
-    typ = dict(texts.dtypes)[id_col]
-    src = texts.select(id_col, column).where(F.col(column).isNotNull() & F.col(id_col).isNotNull())
-    return src.mapInArrow(f, f"id {typ}, class_id bigint, n int").dropDuplicates(["id", "class_id"])
-
-
 def class_links(
     texts: DataFrame, id_col: str = "id", column: str = "content", shingle: int = SHINGLE, min_words: int = MIN_WORDS, threshold: float = THRESHOLD
 ) -> tuple[DataFrame, DataFrame]:
@@ -159,9 +160,8 @@ def class_links(
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     src = texts.select(F.col(id_col).alias("id"), F.col(column).alias("content")).where("id is not null and content is not null")
-    members = set_classes(src, "id", "content", shingle, min_words)
-    spark = texts.sparkSession
-    level = spark.sparkContext.broadcast(frequency_levels(src, "content", shingle, min_words))
+    members, levels = scan_sets(src, shingle, min_words)
+    level = texts.sparkSession.sparkContext.broadcast(levels)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv = np.frombuffer(level.value, np.uint8)
@@ -182,9 +182,8 @@ def class_links(
         .select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b"))
         .distinct()
     )
-    ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
-    reps = members.groupBy("class_id").agg(F.min("id").alias("id")).join(ends, "class_id", "left_semi")
-    texts_of = _text_of_class(src, reps, shingle, min_words)
+    pairs = materialize(pairs, "candidates")
+    texts_of = materialize(_text_of_class(src.select("content"), pairs, shingle, min_words), "texts")
     both = pairs.join(texts_of.toDF("class_a", "text_a"), "class_a").join(texts_of.toDF("class_b", "text_b"), "class_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,19 +206,32 @@ def class_links(
     return both.mapInArrow(verify, "class_a bigint, class_b bigint, similarity double"), members
 
 
-def _text_of_class(src: DataFrame, reps: DataFrame, shingle: int, min_words: int) -> DataFrame:
-    """``(class_id, content)``: one content of each class of ``reps``."""
-    rows = reps.withColumnRenamed("class_id", "wanted").join(src, "id")
+def _text_of_class(contents: DataFrame, pairs: DataFrame, shingle: int, min_words: int) -> DataFrame:
+    """``(class_id, content)``: one content of each class in ``pairs``.
+
+    The classes go ahead as a bitmap of WANTED bits, so that a scan drops nearly
+    all other contents before any shuffle; a semi join drops the rest.
+    """
+    ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
+    bit = F.pmod(F.col("class_id"), F.lit(WANTED)) + 1
+    bits = ends.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    flat = bytearray(WANTED // 8)
+    for r in bits:
+        at = (r["bucket"] - 1) * 4096
+        flat[at : at + 4096] = r["bits"]
+    wanted = contents.sparkSession.sparkContext.broadcast(bytes(flat))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.frombuffer(wanted.value, np.uint8)
         for b in K.slices(batches, "content"):
             s, row = _sets(b, "content", shingle, min_words)
             start, n = K.starts_of(row, b.num_rows)
-            ok = np.flatnonzero((_fingerprint(s, start, n) == b.column(0).to_numpy()) & (n > 0))
-            yield b.select(["wanted", "content"]).take(pa.array(ok))
+            fp = _fingerprint(s, start, n)
+            at = fp & (WANTED - 1)
+            ok = np.flatnonzero((n > 0) & ((mask[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[ok]), b.column(0).take(pa.array(ok))], ["class_id", "content"])
 
-    # an id may come with several contents, and rows repeat
-    return rows.select("wanted", "content").mapInArrow(f, "wanted bigint, content string").dropDuplicates(["wanted"]).toDF("class_id", "content")
+    return contents.mapInArrow(f, "class_id bigint, content string").dropDuplicates(["class_id"]).join(ends, "class_id", "left_semi").select("class_id", "content")
 
 
 def near_duplicate_pairs(texts: DataFrame, id_col: str = "id", column: str = "content", **how) -> DataFrame:
