@@ -7,21 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import neardup
+from . import neardup, spans
 
+Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, Query] = {}
 
+
+def _query(f: Query) -> Query:
+    _ALL[f.__name__] = f
+    return f
+
+
+@_query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks of similar content."""
     return neardup.near_duplicate_pairs(table(spark, sf_dir, "chunks")).select("id_a", "id_b")
 
 
+@_query
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk with its class of equal shingle sets and the class's links."""
     return neardup.near_duplicate_summary(table(spark, sf_dir, "chunks"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes}
+@_query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that share a long passage."""
+    return spans.shared_pairs(table(spark, sf_dir, "documents")).toDF("doc_id_a", "doc_id_b")
+
+
+@_query
+def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document stands elsewhere too."""
+    return spans.shared_share(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared stretches of each document."""
+    return spans.shared_spans(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_ALL)
 
 
 def oracle_sql() -> dict[str, str]:
