@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import neardup, spans
+from . import encode, handwritten, neardup, pack, spans, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {}
@@ -48,9 +48,64 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@_query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that nobody wrote by hand."""
+    return handwritten.machine_files(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "packages"))
+
+
+@_query
+def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with its kinds and the shares they rest on."""
+    return handwritten.classify_files(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "packages"))
+
+
+@_query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks above a limit, by their pieces."""
+    return split.split_oversized(table(spark, sf_dir, "chunks")).where("piece = 0").select("id")
+
+
+@_query
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all chunks above a limit."""
+    return split.split_oversized(table(spark, sf_dir, "chunks"))
+
+
+@_query
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+@_query
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text, from its ids."""
+    return encode.decode_corpus(encode.encode_corpus(table(spark, sf_dir, "documents")))
+
+
+@_query
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of each piece of each document."""
+    return pack.pack(encode.token_counts(table(spark, sf_dir, "documents")))
+
+
+@_query
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, and the least there could be."""
+    return pack.fill_report(pack.pack(encode.token_counts(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Query]:
     return dict(_ALL)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": r"""
+            SELECT id FROM chunks
+            WHERE id IS NOT NULL AND (length(content) > 4000 OR len(regexp_extract_all(content, '[^ \t\r\n]+')) > 320)
+            GROUP BY id
+        """,
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    }
