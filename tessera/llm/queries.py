@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import encode, handwritten, neardup, pack, spans, split
+from . import encode, handwritten, imi, neardup, pack, spans, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {}
@@ -48,6 +48,18 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@_query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of high cosine of which one is among the other's ten nearest."""
+    return imi.similar_pairs(table(spark, sf_dir, "features")).toDF("vector_id_a", "vector_id_b")
+
+
+@_query
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar vectors of every vector."""
+    return imi.nearest(table(spark, sf_dir, "features"))
+
+
 @_query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that nobody wrote by hand."""
