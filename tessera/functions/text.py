@@ -87,7 +87,7 @@ def slug(title: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines of a text: a final line end gives no empty line, ``\\r\\n`` counts as one end."""
-    return F.split(F.regexp_replace(F.regexp_replace(text, r"\r\n", "\n"), r"\n$", ""), "\n")
+    return F.split(F.regexp_replace(F.regexp_replace(text, r"\r\n", "\n"), r"\n\z", ""), "\n")
 
 
 #: Fence tags by file extension; fixed values.
