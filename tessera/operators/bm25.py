@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 
 K1, B = 1.2, 0.75
 
@@ -55,8 +56,10 @@ def search(tf: DataFrame, queries: DataFrame, limit: int | None = 10, k1: float
     """``(query_id, id, score, rank)`` of the best documents of each query.
 
     Ties go to the smaller id. Only postings of query terms are scored; document
-    lengths and statistics cover the whole corpus.
+    lengths and statistics cover the whole corpus. The postings are written once
+    and read for each of these.
     """
+    tf = materialize(tf, "postings")
     q = query_terms(queries)
     wanted = q.select("term").distinct()
     hits = tf.join(wanted, "term", "left_semi")

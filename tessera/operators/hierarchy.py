@@ -52,10 +52,11 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Out: child, exit, steps, low, looped; for a looped row ``exit`` is the loop's
     smallest id, and so is ``low``.
     """
-    t = pa.Table.from_batches(list(batches))
-    n = t.num_rows
-    if not n:
+    held_rows = [b for b in batches if b.num_rows]
+    if not held_rows:
         return
+    t = pa.Table.from_batches(held_rows)
+    n = t.num_rows
     child = t.column("child").combine_chunks()
     names = pa.chunked_array([child, t.column("parent").combine_chunks(), t.column("low").combine_chunks()]).dictionary_encode().combine_chunks()
     codes = names.indices.to_numpy().astype(np.int64)

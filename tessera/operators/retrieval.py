@@ -30,8 +30,9 @@ def feature_counts(docs: DataFrame, id_col: str = "id", text_col: str = "content
 
 def hash_buckets(docs: DataFrame, id_col: str = "id", text_col: str = "content", dim: int = DIM) -> DataFrame:
     """``(id, bucket, value)``: the non-zero places of each text's vector of length 1."""
-    weight = V.feature_sign(F.col("feature")) * (1 + F.log("count"))
-    sums = feature_counts(docs, id_col, text_col).groupBy("id", V.feature_bucket(F.col("feature"), dim).alias("bucket")).agg(F.sum(weight).alias("value"))
+    coded = feature_counts(docs, id_col, text_col).select("id", V.feature_code(F.col("feature")).alias("code"), (1 + F.log("count")).alias("w"))
+    signed = F.when(F.pmod("code", F.lit(2)) == 0, F.col("w")).otherwise(-F.col("w"))
+    sums = coded.groupBy("id", F.pmod(F.shiftright("code", 1), F.lit(dim)).alias("bucket")).agg(F.sum(signed).alias("value"))
     length = sums.withColumn("n", F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("id"))))
     return length.where("n > 1e-12").select("id", "bucket", (F.col("value") / F.col("n")).alias("value"))
 
