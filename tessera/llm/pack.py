@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 CAPACITY = 2048
-#: Rounds of multiplicative weights and their step.
-ROUNDS, STEP = 24, 0.2
+#: Rounds of multiplicative weights, their step, and what stays of earlier rounds.
+ROUNDS, STEP, FADE = 60, 0.3, 0.85
 #: Rows of one size that one task ranks.
 RANK_ROWS = 200_000
 
@@ -75,53 +75,62 @@ def fractional(hist: dict[int, int], capacity: int, rounds: int = ROUNDS, step:
     covered = np.zeros(len(size))
     total: dict[tuple, float] = {}
     price = size / capacity
-    for _ in range(rounds):
+    for r in range(rounds):
         value = np.zeros(capacity + 1)
         value[size] = price
         best, pick = knapsack(value, capacity)
+        # rounds at immature prices fade
+        covered *= FADE
+        total = {c: w * FADE for c, w in total.items() if w * FADE > 1e-4}
         for i in np.flatnonzero(price + best[capacity - size] >= (1 - step) * best[capacity]):
             config = _fill(pick, capacity - int(size[i]), Counter({int(size[i]): 1}))
             at = np.array([index[s] for s in config])
             much = np.array([config[s] for s in config], float)
-            width = step * (need[at] / much).min()
+            width = (need[at] / much).min()
             covered[at] += much * width
             key = tuple(sorted(config.items()))
             total[key] = total.get(key, 0.0) + width
-        # what lags behind in coverage gets worth more, what leads less
+        # multiplicative weights: what lags behind in coverage gets worth more, what leads less
         lag = covered / need
-        price = price * np.exp(step * np.clip(lag.mean() - lag, -1, 1))
-    scale = max(1e-9, float(np.median(covered / need)))
+        lag = lag / max(1e-9, lag.mean())
+        price = price * np.exp(step * np.clip(1 - lag, -1, 1) / np.sqrt(1 + r / 8))
+        price = np.maximum(price, price.max() * 1e-6)
+    # the fewest containers that cover nine tenths of the sizes; the rest is rounded anyway
+    scale = max(1e-9, float(np.quantile(covered / need, 0.1)))
     return [(dict(k), w / scale) for k, w in total.items()]
 
 
 def plan(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """``[(configuration, copies)]`` that packs exactly ``hist`` (sizes from 1 to ``capacity``)."""
-    left = Counter({s: n for s, n in hist.items() if n > 0 and s > 0})
-    if any(s > capacity for s in left):
+    start = Counter({s: n for s, n in hist.items() if n > 0 and s > 0})
+    if any(s > capacity for s in start):
         raise ValueError("sizes must not exceed the capacity")
-    out: list[tuple[dict[int, int], int]] = []
-    full = left.pop(capacity, 0)
-    if full:
-        out.append(({capacity: 1}, full))
-
-    def take(config: dict[int, int], copies: int) -> None:
-        copies = min([copies, *(left[s] // n for s, n in config.items())])
-        if copies > 0:
-            out.append((config, copies))
-            for s, n in config.items():
-                left[s] -= n * copies
-                if not left[s]:
-                    del left[s]
-
-    if left:
-        weights = fractional(dict(left), capacity, rounds)
-        unused = lambda config: capacity - sum(s * n for s, n in config.items())
-        for config, w in sorted(weights, key=lambda x: (unused(x[0]), -x[1])):
-            take(config, int(w))
-        for config, _ in sorted(weights, key=lambda x: (unused(x[0]), int(x[1]) - x[1])):
-            if unused(config) * 400 <= capacity:
+    full = start.pop(capacity, 0)
+    whole = [({capacity: 1}, full)] if full else []
+    if not start:
+        return whole
+    unused = lambda config: capacity - sum(s * n for s, n in config.items())
+    weights = sorted(fractional(dict(start), capacity, rounds), key=lambda x: (unused(x[0]), -x[1]))
+    made = []
+    # how much of the program is kept before the rest is filled greedily: the best of three roundings counts
+    for loss in (0, capacity, -1):
+        left, out = Counter(start), []
+
+        def take(config: dict[int, int], copies: int) -> None:
+            copies = min([copies, *(left[s] // n for s, n in config.items())])  # noqa: B023
+            if copies > 0:
+                out.append((config, copies))  # noqa: B023
+                for s, n in config.items():
+                    left[s] -= n * copies  # noqa: B023
+
+        for config, w in weights:
+            if unused(config) <= loss:
+                take(config, int(w))
+        for config, _ in weights:
+            if loss >= 0 and unused(config) * 400 <= capacity:
                 take(config, 1)
-    return out + _best_fit(left, capacity)
+        made.append(out + _best_fit(left, capacity))
+    return whole + min(made, key=lambda p: sum(c for _, c in p))
 
 
 def _best_fit(left: Counter, capacity: int) -> list[tuple[dict[int, int], int]]:
