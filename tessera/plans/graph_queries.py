@@ -36,20 +36,43 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.parent_links(table(spark, d, "edges"), ids=ids)
 
 
-@query("p2_found")
+LINKS = r"""ids AS (SELECT id FROM nodes WHERE id IS NOT NULL UNION SELECT id FROM shared_nodes),
+    al AS (SELECT CASE WHEN k = 'contains' THEN target ELSE source END AS child, CASE WHEN k = 'contains' THEN source ELSE target END AS parent
+        FROM (SELECT source, target, lower(regexp_replace(kind, '^\s+|\s+$', '', 'g')) AS k FROM edges) WHERE k IN ('contains', 'belongsto')),
+    lk AS (SELECT child, min(parent) AS parent FROM al WHERE child IN (SELECT id FROM ids) AND parent IN (SELECT id FROM ids) GROUP BY child),
+    wk AS (SELECT child AS node, parent AS cur, 1 AS d, [child] AS path FROM lk
+        UNION ALL SELECT node, lk.parent, d + 1, list_append(path, cur) FROM wk JOIN lk ON lk.child = wk.cur WHERE NOT list_contains(path, cur)),
+    lp AS (SELECT DISTINCT node FROM wk WHERE list_contains(path, cur)),
+    rt AS (SELECT DISTINCT parent AS node FROM lk WHERE parent NOT IN (SELECT child FROM lk))"""
+
+
+@query(
+    "p2_found",
+    f"""WITH RECURSIVE {LINKS} SELECT node AS node_id, list_min(path[list_position(path, cur):]) AS root_id, CAST(-1 AS BIGINT) AS depth FROM wk WHERE list_contains(path, cur)
+    UNION ALL SELECT node, cur, d FROM wk WHERE cur NOT IN (SELECT child FROM lk) UNION ALL SELECT node, node, 0 FROM rt""",
+)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Root and depth of each node that lies in a hierarchy."""
     return hierarchy.resolve_roots(_links(spark, d))
 
 
-@query("p2_paths")
+@query(
+    "p2_paths",
+    f"""WITH RECURSIVE {LINKS} SELECT node AS node_id, node AS path, [node] AS path_ids, CAST(-1 AS BIGINT) AS depth, list_min(wk.path[list_position(wk.path, cur):]) AS root_id, true AS is_cyclic FROM wk WHERE list_contains(wk.path, cur)
+    UNION ALL SELECT node, array_to_string(list_reverse(list_append(wk.path, cur)), ' > '), list_reverse(list_append(wk.path, cur)), d, cur, false FROM wk WHERE cur NOT IN (SELECT child FROM lk)
+    UNION ALL SELECT node, node, [node], 0, node, false FROM rt""",
+)
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     """Full path of each node, loops flagged."""
     links = _links(spark, d)
     return hierarchy.full_paths(links, hierarchy.resolve_roots(links))
 
 
-@query("p2_descendants")
+@query(
+    "p2_descendants",
+    f"""WITH RECURSIVE {LINKS} SELECT node AS node_id, cur AS ancestor_id, CAST(d AS BIGINT) AS distance FROM wk WHERE node NOT IN (SELECT node FROM lp)
+    UNION ALL SELECT node, node, 0 FROM (SELECT child AS node FROM lk UNION SELECT node FROM rt)""",
+)
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Each node of a tree with each of its ancestors, hence all descendants of each node."""
     links = _links(spark, d)
