@@ -112,12 +112,30 @@ def queries() -> dict[str, Query]:
     return dict(_ALL)
 
 
+_SHINGLES = """sh AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM
+    (SELECT id, list_transform(regexp_extract_all(content, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM (SELECT DISTINCT id, content FROM chunks WHERE id IS NOT NULL)) WHERE len(w) >= 30)),
+    n AS (SELECT id, count(*) AS n FROM sh GROUP BY id)"""
+_WINDOWS = """d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 150),
+    w AS (SELECT doc_id, i, hash(substr(text, i, 150)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 148)) AS i FROM d))"""
+
+
 def oracle_sql() -> dict[str, str]:
+    """SQL by brute force, for the sizes that tests use."""
+    usable = "SELECT DISTINCT vector_id, space, vector::DOUBLE[] AS v FROM features WHERE vector_id IS NOT NULL AND len(vector) = CASE space WHEN 'BinaryFingerprint' THEN 256 WHEN 'Text' THEN 64 WHEN 'Code' THEN 64 END AND NOT list_contains(list_transform(vector, lambda x: isnan(x)), true) AND list_sum(list_transform(vector, lambda x: abs(x))) > 0"
     return {
+        "p1_found": f"""WITH {_SHINGLES} SELECT id_a, id_b FROM (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+            JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.7 * (x.n + y.n - c) - 1e-9""",
+        "p3_found": f"""WITH u AS ({usable}), c AS (SELECT a.vector_id AS x, b.vector_id AS y, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM u a JOIN u b ON a.space = b.space AND a.vector_id <> b.vector_id),
+            r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS r FROM c)
+            SELECT DISTINCT least(x, y) AS vector_id_a, greatest(x, y) AS vector_id_b FROM r WHERE r <= 10 AND c >= 0.85""",
         "p5_found": r"""
             SELECT id FROM chunks
             WHERE id IS NOT NULL AND (length(content) > 4000 OR len(regexp_extract_all(content, '[^ \t\r\n]+')) > 320)
             GROUP BY id
         """,
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p8_found": f"WITH {_WINDOWS}, x AS (SELECT DISTINCT doc_id, h FROM w) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id",
+        "p8_share": f"""WITH {_WINDOWS}, m AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), s AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i AS gap FROM w WHERE h IN (SELECT h FROM m)),
+            t AS (SELECT doc_id, sum(CASE WHEN gap IS NULL OR gap > 150 THEN 1 ELSE 0 END) AS spans, sum(least(150, coalesce(gap, 150))) AS chars FROM s GROUP BY doc_id)
+            SELECT doc_id, length(text) AS n_chars, CAST(coalesce(spans, 0) AS BIGINT) AS spans, CAST(coalesce(chars, 0) AS BIGINT) AS shared_chars, round(coalesce(chars / length(text)::DOUBLE, 0), 6) AS share FROM documents LEFT JOIN t USING (doc_id)""",
     }
