@@ -29,10 +29,12 @@ from ..session import materialize
 from . import kernels as K
 
 SHINGLE, MIN_WORDS, THRESHOLD = 3, 30, 0.7
-#: Cells of the frequency sketch (a power of two), cells in a block of it, the count from
-#: which a cell is frequent beside the mean, groups of frequent shingles, and the set size
-#: up to which plain prefixes are indexed besides, as too small for the extension.
-CELLS, BLOCK, FREQUENT, GROUPS, TINY = 1 << 21, 1 << 16, 64, 8, 18
+#: Cells of the frequency sketch for each text, and the least and most of them (powers of two).
+CELLS_A_TEXT, LEAST_CELLS, MOST_CELLS = 32, 1 << 20, 1 << 25
+#: Cells in a block of the sketch, the count from which a cell is frequent beside the mean, groups
+#: of frequent shingles, and the set size up to which plain prefixes are indexed besides, as too
+#: small for the extension.
+BLOCK, FREQUENT, GROUPS, TINY = 1 << 16, 64, 8, 18
 #: Bits of the filter for the texts of candidates (a power of two).
 WANTED = 1 << 23
 
@@ -53,31 +55,49 @@ def _fingerprint(s: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndar
     return K.mix(c[start + count] - c[start] + count.astype(np.uint64)).view(np.int64)
 
 
+def _first(fp: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which rows hold a set that the task has not met yet; ``seen`` grows with the texts of one task."""
+    new = np.zeros(len(fp), bool)
+    for i, x in enumerate(fp.tolist()):
+        if n[i] and x not in seen:
+            seen.add(x)
+            new[i] = True
+    return new
+
+
 def scan_sets(texts: DataFrame, k: int, min_words: int) -> tuple[DataFrame, bytes]:
     """One pass over ``texts(id, content)``: the ids with the fingerprints of their sets, and the sketch.
 
     The sketch gives the level of every cell: 0-7 rare by counts, 8 and above
     frequent. Counts run over all texts; blocks of the sketch are added up by key
-    in the cluster. What reaches the driver is CELLS counts whatever the input.
+    in the cluster. What reaches the driver is one count for each cell, of which
+    there are at most MOST_CELLS. Of equal sets a task counts one.
     """
+    cells = LEAST_CELLS
+    wanted = CELLS_A_TEXT * texts.select("id").count()
+    while cells < min(wanted, MOST_CELLS):
+        cells *= 2
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.uint16)
+        total = np.zeros(cells, np.uint16)
         names = ["block", "counts", "id", "class_id", "n"]
         id_type = None
+        seen: set[int] = set()
         for b in K.slices(batches, "content"):
             s, row = _sets(b, "content", k, min_words)
-            cell, n = np.unique((s & K.U(CELLS - 1)).astype(np.int64), return_counts=True)
-            total[cell] = np.minimum(total[cell].astype(np.int64) + n, 65535)
             start, n = K.starts_of(row, b.num_rows)
             has = np.flatnonzero(n)
+            fp = _fingerprint(s, start, n)
+            fresh = s[_first(fp, n, seen)[row]]
+            cell, times = np.unique((fresh & K.U(cells - 1)).astype(np.int64), return_counts=True)
+            total[cell] = np.minimum(total[cell].astype(np.int64) + times, 65535)
             ids = b.column(0).take(pa.array(has))
             id_type = ids.type
             none = len(has)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), ids, pa.array(_fingerprint(s, start, n)[has]), pa.array(n[has].astype(np.int32))], names
+                [pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), ids, pa.array(fp[has]), pa.array(n[has].astype(np.int32))], names
             )
-        blocks = [i for i in range(CELLS // BLOCK) if total[i * BLOCK : (i + 1) * BLOCK].any()]
+        blocks = [i for i in range(cells // BLOCK) if total[i * BLOCK : (i + 1) * BLOCK].any()]
         if blocks:
             none = len(blocks)
             counts = pa.array([total[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in blocks], pa.binary())
@@ -93,10 +113,10 @@ def scan_sets(texts: DataFrame, k: int, min_words: int) -> tuple[DataFrame, byte
     typ = dict(texts.dtypes)["id"]
     out = materialize(texts.mapInArrow(scan, f"block int, counts binary, id {typ}, class_id bigint, n int"), "sets")
     rows = out.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    total = np.zeros(CELLS, np.int64)
+    total = np.zeros(cells, np.int64)
     for r in rows:
         total[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.uint32)
-    mean = total.sum() / CELLS
+    mean = total.sum() / cells
     level = np.minimum(7, np.log2(1 + total / (1 + mean)) * 1.5).astype(np.uint8)
     hot = total >= FREQUENT + 2 * mean
     level[hot] = 8 + np.minimum(200, np.log2(np.maximum(1, total[hot])) * 4).astype(np.uint8)
@@ -105,7 +125,7 @@ def scan_sets(texts: DataFrame, k: int, min_words: int) -> tuple[DataFrame, byte
 
 def prefix_keys(s: np.ndarray, row: np.ndarray, n_rows: int, level: np.ndarray, t: float):
     """Index keys of sets given as (shingle, row) sorted by row: key, row."""
-    lv = level[(s & K.U(CELLS - 1)).astype(np.int64)]
+    lv = level[(s & K.U(len(level) - 1)).astype(np.int64)]
     o = np.lexsort((s, lv, row))
     s, row, lv = s[o], row[o], lv[o]
     start, n = K.starts_of(row, n_rows)
@@ -165,16 +185,20 @@ def class_links(
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv = np.frombuffer(level.value, np.uint8)
+        seen: set[int] = set()
         for b in K.slices(batches, "content"):
             s, row = _sets(b, "content", shingle, min_words)
-            if not len(s):
-                continue
             start, n = K.starts_of(row, b.num_rows)
             fp = _fingerprint(s, start, n)
+            fresh = _first(fp, n, seen)[row]
+            s, row = s[fresh], row[fresh]
+            if not len(s):
+                continue
             key, r, _ = prefix_keys(s, row, b.num_rows, lv, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp[r]), pa.array(n[r].astype(np.int32))], ["key", "class_id", "n"])
 
-    keys = src.select("content").mapInArrow(index, "key bigint, class_id bigint, n int")
+    # equal sets of different tasks meet under each of their keys and become one there, before the join
+    keys = src.select("content").mapInArrow(index, "key bigint, class_id bigint, n int").repartition("key").dropDuplicates(["key", "class_id"])
     a, b = keys.alias("a"), keys.alias("b")
     size = (F.col("a.n") >= threshold * F.col("b.n") - 1e-9) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-9)
     pairs = (

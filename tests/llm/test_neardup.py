@@ -67,7 +67,7 @@ def test_small_sets_of_frequent_shingles(spark, monkeypatch):
 def test_prefix_keys_meet_for_random_sets():
     rnd = np.random.default_rng(3)
     for trial in range(300):
-        level = rnd.choice([0, 3, 8, 20], N.CELLS).astype(np.uint8)
+        level = rnd.choice([0, 3, 8, 20], N.LEAST_CELLS).astype(np.uint8)
         n = int(rnd.integers(5, 80))
         pool = rnd.integers(0, 1 << 62, 2 * n).astype(np.uint64)
         a = pool[:n]
