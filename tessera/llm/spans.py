@@ -76,12 +76,13 @@ def anchors(text: np.ndarray, min_chars: int = MIN_CHARS, k: int = ANCHOR) -> tu
 
 def _anchor_runs(min_chars: int, k: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in K.slices(batches, "text", 1 << 22):
-            fps = b.column(0).to_numpy()
             out = []
-            for fp, t in zip(fps, b.column(1).to_pylist()):
-                if len(t) < min_chars:
+            for fp, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(t) < min_chars or fp in seen:
                     continue
+                seen.add(fp)
                 h, p = anchors(K.code_points(t), min_chars, k)
                 # neighbours of one hash (runs of one character) make one row
                 new = np.ones(len(h), bool)
@@ -95,6 +96,18 @@ def _anchor_runs(min_chars: int, k: int):
     return f
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each text that a task meets."""
+    seen: set[int] = set()
+    for b in batches:
+        keep = []
+        for i, fp in enumerate(b.column(0).to_pylist()):
+            if fp not in seen:
+                seen.add(fp)
+                keep.append(i)
+        yield b if len(keep) == b.num_rows else b.take(pa.array(keep, pa.int64()))
+
+
 class Automaton:
     """Suffix automaton of several texts, with a bit set of texts for each long state."""
 
@@ -242,7 +255,8 @@ def _matched(docs: DataFrame, min_chars: int, k: int) -> DataFrame:
                             col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["fp", "home", "at", "stretch"])
 
-    texts = runs.join(src, "fp").select("fp", "home", "runs", "text").dropDuplicates(["fp"])
+    # copies leave a task once, so a text of many records is no hot key
+    texts = runs.join(src.mapInArrow(_once, "fp bigint, text string"), "fp").select("fp", "home", "runs", "text").dropDuplicates(["fp"])
     stretches = materialize(texts.mapInArrow(cut, "fp bigint, home bigint, at bigint, stretch string"), "stretches")
     # shards of bounded text: homes are put together in buckets, buckets that grew too large are split by text
     total = stretches.agg(F.sum(F.length("stretch"))).first()[0] or 0
