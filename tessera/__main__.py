@@ -1,4 +1,4 @@
-"""Command line: index, search, find, chunk, graph, impact, context, co-change, status, watch, evaluate."""
+"""Command line: index, search, find, chunk, graph, impact, context, co-change, status, watch, evaluate, serve and benchmarks."""
 
 from __future__ import annotations
 
@@ -24,6 +24,9 @@ def main() -> None:
         "status": [],
         "watch": [("path", {"nargs": "?", "default": "."}), ("--debounce", {"type": int, "default": 300})],
         "evaluate": [("fixture", {})],
+        "serve": [("--port", {"type": int, "default": 8080})],
+        "ann-benchmark": [("--vectors", {"type": int, "default": 1000}), ("--dimension", {"type": int, "default": 256}), ("--queries", {"type": int, "default": 100}), ("-k", {"type": int, "default": 10})],
+        "cold-benchmark": [("--vectors", {"type": int, "default": 1000}), ("--iterations", {"type": int, "default": 5})],
     }
     for name, args in one.items():
         s = sub.add_parser(name)
@@ -45,6 +48,18 @@ def main() -> None:
         print(e.stats())
     elif a.what == "watch":
         e.watch(a.path, a.debounce)
+    elif a.what == "serve":
+        from .server import serve
+
+        serve(e, a.port)
+    elif a.what == "ann-benchmark":
+        from .benchmarks import ann
+
+        print(ann(e.spark, a.vectors, a.dimension, a.queries, a.k))
+    elif a.what == "cold-benchmark":
+        from .benchmarks import cold
+
+        print(cold(e.spark, a.vectors, a.iterations))
     elif a.what == "graph":
         for df in e.subgraph([a.id], a.hops):
             print(to_json(df))

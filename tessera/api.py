@@ -173,18 +173,28 @@ class Engine:
         return cochange.candidates(h.withColumn("seq", -F.col("seq").cast("bigint")), file, top)
 
     def context(self, task: str, limit: int = 4) -> str:
-        """Markdown of the best hits, each with the files that a change of it affects, if several."""
+        """Markdown of the best hits with their symbols, related nodes and, if several, the files a change affects."""
         found = self.search(task, limit, 1)
         n = self.tables["nodes"]
-        hits = found.hits.select("rank", "file_path", "start_line", "end_line", "content", "node_id").collect()
+        about = n.select(F.col("id").alias("node_id"), "label", "kind", "signature")
+        hits = found.hits.join(about, "node_id", "left").orderBy("rank").collect()
+        if not hits:
+            return f"# Context for: {task}\n\nNothing relevant was found."
         seeds = found.hits.where("node_id is not null").select(F.col("node_id").alias("id"))
         touched = {r["target"]: sorted(r["f"]) for r in graph.affected_files(graph.impact(self._edges(), n, seeds), n).groupBy("target").agg(F.collect_set("file_path").alias("f")).collect()}
+        near = found.hits.select(F.explode("related").alias("id")).distinct().join(n.select("id", "label", "kind", "file_path"), "id").collect()
+        named = {r["id"]: f"`{r['label']}` ({r['kind']}) in `{r['file_path']}`" for r in near}
         out = [f"# Context for: {task}"]
         for r in hits:
-            ext = os.path.splitext(r["file_path"] or "")[1][1:].lower()
-            out += ["", f"## {r['rank']}. {r['file_path']}:{r['start_line']}-{r['end_line']}", f"```{T.FENCE_TAGS.get(ext, '')}", r["content"] or "", "```"]
+            ext = os.path.splitext(r["file_path"] or "")[1][1:]
+            out += ["", f"## {r['rank']}. {r['file_path']}:{r['start_line']}-{r['end_line']} (score {r['score']:.3f})"]
+            if r["label"]:
+                out.append(f"Symbol: `{r['label']}` ({r['kind']})" + (f", `{r['signature']}`" if r["signature"] else ""))
+            if r["related"]:
+                out.append("Related: " + "; ".join(named.get(x, x) for x in r["related"]))
             if len(touched.get(r["node_id"], [])) > 1:
                 out.append("Affects: " + ", ".join(touched[r["node_id"]]))
+            out += [f"```{T.FENCE_TAGS.get(ext, '')}", r["content"] or "", "```"]
         return "\n".join(out)
 
     def stats(self) -> dict[str, int]:

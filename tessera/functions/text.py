@@ -91,13 +91,13 @@ def lines(text: Column) -> Column:
 
 
 #: Fence tags by file extension; fixed values.
-FENCE_TAGS = {"rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "md": "markdown"}
+FENCE_TAGS = {"rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "go": "go", "md": "markdown"}
 
 
 def fence_tag(path: Column) -> Column:
     """The language tag of a code fence, empty where the extension is unknown."""
     table = F.create_map(*(F.lit(x) for kv in FENCE_TAGS.items() for x in kv))
-    return F.coalesce(table[F.lower(extension(path))], F.lit(""))
+    return F.coalesce(table[extension(path)], F.lit(""))
 
 
 def preview(text: Column, n_lines: int = 6) -> Column:

@@ -33,3 +33,19 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", stamps: tup
     j = a.join(b, key, "full_outer")
     change = F.when(F.col("a").isNull(), "insert").when(F.col("b").isNull(), "delete").when(~F.col("a").eqNullSafe(F.col("b")), "update")
     return j.select(key, change.alias("change")).where("change is not null")
+
+
+#: Extensions, node kinds and spaces of things that are not text; fixed values.
+NON_TEXT_KINDS, NON_TEXT_SPACES = ("AudioTrack", "Image", "Binary"), ("BinaryFingerprint", "Metadata")
+
+
+def non_text_paths(chunks: DataFrame, nodes: DataFrame, features: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
+    """``file_path`` of files that stored tables hold though they are no text: by extension, node kind, space of a vector, or content."""
+    from ..functions import text as T
+
+    by_ext = chunks.select("file_path").unionByName(nodes.select("file_path")).where(F.lower(T.extension(F.col("file_path"))).isin(*extensions))
+    by_kind = nodes.where(F.col("kind").isin(*NON_TEXT_KINDS)).select("file_path")
+    odd = features.where(F.col("space").isin(*NON_TEXT_SPACES)).select("vector_id").distinct()
+    by_space = chunks.join(odd, "vector_id", "left_semi").select("file_path")
+    by_text = chunks.where(F.startswith(F.col("content"), F.lit("PDF Document: "))).select("file_path")
+    return by_ext.unionByName(by_kind).unionByName(by_space).unionByName(by_text).where("file_path is not null").distinct()

@@ -16,8 +16,8 @@ from ..functions import text as T
 SKIP_FOLDERS = ("target", "node_modules", "dist", "build")
 #: Extensions that are never text; fixed values.
 SKIP_EXTENSIONS = (
-    "lock", "tmp", "log", "mp3", "wav", "flac", "ogg", "m4a", "mp4", "png", "jpg", "jpeg", "gif", "webp",
-    "ico", "zip", "tar", "gz", "7z", "rar", "exe", "dll", "so", "bin", "db", "docx", "doc", "xlsx", "pptx", "odt",
+    "lock", "tmp", "log", "mp3", "m4a", "aac", "ogg", "wav", "flac", "png", "jpg", "jpeg", "gif", "webp", "svg",
+    "zip", "tar", "gz", "7z", "rar", "bin", "dat", "exe", "dll", "so", "dylib", "wasm", "docx", "pptx", "xlsx",
 )
 
 
