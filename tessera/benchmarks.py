@@ -35,8 +35,7 @@ def ann(spark: SparkSession, vectors: int = 1000, dim: int = 256, queries: int =
     gold.count()
     exact = time.time() - began
     began = time.time()
-    both = v.unionByName(q.select((-F.col("query_id") - 1).alias("id"), "vector"))
-    near = retrieval.lsh_knn(both, 4 * k, bits=4, tables=16, dim=dim).where("id < 0 and near >= 0").select((-F.col("id") - 1).alias("query_id"), F.col("near").alias("id")).cache()
+    near = retrieval.lsh_knn(q, v, k, bits=4, tables=16, dim=dim).select("query_id", "id").cache()
     near.count()
     approximate = time.time() - began
     recall = evaluate.recall(near, gold).agg(F.avg("recall")).first()[0]

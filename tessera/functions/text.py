@@ -103,3 +103,8 @@ def fence_tag(path: Column) -> Column:
 def preview(text: Column, n_lines: int = 6) -> Column:
     """The first lines of a text."""
     return F.array_join(F.slice(lines(text), 1, n_lines), "\n")
+
+
+def clock(ts: Column) -> Column:
+    """Hours, minutes and seconds of a time."""
+    return F.date_format(ts, "HH:mm:ss")

@@ -64,10 +64,11 @@ def search(tf: DataFrame, queries: DataFrame, limit: int | None = 10, k1: float
     wanted = q.select("term").distinct()
     hits = tf.join(wanted, "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(tf)
-    post = hits.join(doc_lengths(tf), "id").join(df, "term").join(q, "term").join(F.broadcast(stats))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    length = 1 - b + b * F.col("doc_len") / F.greatest(F.col("avg_len"), F.lit(1.0))
+    stats = corpus_stats(tf).first()
+    n_docs, avg_len = F.lit(stats["n_docs"]), F.lit(max(1.0, float(stats["avg_len"] or 0)))
+    post = hits.join(doc_lengths(tf), "id").join(df, "term").join(q, "term")
+    idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    length = 1 - b + b * F.col("doc_len") / avg_len
     one = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
     scored = post.groupBy("query_id", "id").agg(F.sum(one).alias("score"))
     # scores are compared to 9 places, so that the order of summing can't change a rank

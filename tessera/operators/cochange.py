@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Files of one commit beyond which its pairs are made from parts of its file list.
-LARGE_COMMIT = 200
-
-
 def commit_files(commits: DataFrame) -> DataFrame:
     """``(hash, seq, file)``: distinct files of each commit; repeated rows of a hash count once, at their first ``seq``."""
     f = commits.where("hash is not null").select("hash", "seq", F.explode("files").alias("file")).where("file is not null")
@@ -28,12 +24,12 @@ def candidates(commits: DataFrame, target: str, top: int | None = None, subjects
     of = f.where((F.col("file") == target) | F.endswith(F.col("file"), F.lit("/" + target))).select("hash").distinct()
     label = commits.where("hash is not null").groupBy("hash").agg(F.max_by("subject", "seq").alias("subject"))
     both = f.join(of, "hash", "left_semi").where((F.col("file") != target) & ~F.endswith(F.col("file"), F.lit("/" + target)))
-    total = of.agg(F.count("*").alias("total"))
+    total = F.lit(of.count())
     # the latest few of each file are ranked before they are gathered
     g = both.groupBy("file").agg(F.count("*").alias("together"))
     w = Window.partitionBy("file").orderBy(F.desc("seq"), "hash")
     last = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= subjects).join(label, "hash").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("r", F.concat_ws(" ", "hash", "subject").alias("l")))).alias("x"))
-    out = g.join(last, "file").join(F.broadcast(total)).select("file", "together", "total", (F.col("together") / F.col("total")).alias("confidence"), F.transform("x", lambda x: x["l"]).alias("recent"))
+    out = g.join(last, "file").select("file", "together", total.alias("total"), (F.col("together") / total).alias("confidence"), F.transform("x", lambda x: x["l"]).alias("recent"))
     out = out.orderBy(F.desc("together"), F.desc("confidence"), "file")
     return out.limit(top) if top else out
 

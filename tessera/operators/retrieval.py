@@ -94,11 +94,11 @@ def exact_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str =
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def lsh_candidates(vectors: DataFrame, bits: int = 12, tables: int = 6, dim: int = 64, seed: int = 17, most: int = 400) -> DataFrame:
-    """``(id, near)`` pairs of ``vectors(id, vector)`` that share a bucket of random hyperplanes.
+def lsh_candidates(queries: DataFrame, vectors: DataFrame, bits: int = 12, tables: int = 6, dim: int = 64, seed: int = 17, most: int = 400) -> DataFrame:
+    """``(query_id, id)`` of ``queries(query_id, vector)`` and ``vectors(id, vector)`` that share a bucket of random hyperplanes.
 
-    Buckets of more than ``most`` members are cut again by further planes until
-    none is larger or the planes run out, so no bucket emits unboundedly many pairs.
+    Buckets of more than ``most`` vectors are cut by further planes, in proportion
+    to their size, so a dense region is no hot key.
     """
     planes = np.random.default_rng(seed).standard_normal((tables, bits + 16, dim))
 
@@ -110,21 +110,24 @@ def lsh_candidates(vectors: DataFrame, bits: int = 12, tables: int = 6, dim: int
                 low = s[:, :bits] @ (1 << np.arange(bits)) + (t << bits)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low), pa.array(s[:, bits:] @ (1 << np.arange(16)))], ["id", "bucket", "rest"])
 
-    s = vectors.select("id", "vector").mapInArrow(sign, f"id {dict(vectors.dtypes)['id']}, bucket bigint, rest bigint")
+    schema = f"id {dict(vectors.dtypes)['id']}, bucket bigint, rest bigint"
+    s = vectors.select("id", "vector").mapInArrow(sign, schema)
+    q = queries.select(F.col("query_id").alias("id"), "vector").mapInArrow(sign, schema)
     n = s.groupBy("bucket").agg(F.count("*").alias("n"))
     extra = F.least(F.lit(16), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / most)))).cast("int")
-    s = s.join(n, "bucket").select("id", "bucket", F.col("rest").bitwiseAND(F.pow(F.lit(2.0), extra).cast("bigint") - 1).alias("cut"))
-    a, b = s.alias("a"), s.alias("b")
-    same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.cut") == F.col("b.cut")) & (F.col("a.id") != F.col("b.id"))
-    return a.join(b, same).select(F.col("a.id").alias("id"), F.col("b.id").alias("near")).distinct()
-
-
-def lsh_knn(vectors: DataFrame, k: int = 10, **how) -> DataFrame:
-    """``(id, near, cosine, rank)``: the ``k`` nearest among candidates of random hyperplanes, by exact cosine."""
-    c = lsh_candidates(vectors, **how)
-    v = vectors.select("id", V.normalize(F.col("vector")).alias("u"))
-    scored = c.join(v, "id").join(v.toDF("near", "w"), "near").select("id", "near", F.round(V.dot(F.col("u"), F.col("w")), 6).alias("cosine"))
-    w = Window.partitionBy("id").orderBy(F.desc("cosine"), "near")
+    cut = F.col("rest").bitwiseAND(F.pow(F.lit(2.0), extra).cast("bigint") - 1).alias("cut")
+    members = s.join(n, "bucket").select("bucket", cut, "id")
+    asks = q.join(n, "bucket").select("bucket", cut, F.col("id").alias("query_id"))
+    return asks.join(members, ["bucket", "cut"]).select("query_id", "id").distinct()
+
+
+def lsh_knn(queries: DataFrame, vectors: DataFrame, k: int = 10, **how) -> DataFrame:
+    """``(query_id, id, cosine, rank)``: the ``k`` nearest among candidates of random hyperplanes, by exact cosine."""
+    c = lsh_candidates(queries, vectors, **how)
+    u = queries.select("query_id", V.normalize(F.col("vector")).alias("u"))
+    v = vectors.select("id", V.normalize(F.col("vector")).alias("v"))
+    scored = c.join(u, "query_id").join(v, "id").select("query_id", "id", F.round(V.dot(F.col("u"), F.col("v")), 6).alias("cosine"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -195,9 +195,9 @@ def impact_files(spark: SparkSession, d: str) -> DataFrame:
 @query("impact_resolve", f"WITH {ND} SELECT q, id FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY (id = q) DESC, (lower(label) = lower(q)) DESC, label, id) AS r FROM (VALUES ('{SEED}'), ('as_key'), ('trace')) AS t(q), nd WHERE id = q OR contains(lower(label), lower(q))) WHERE r = 1")
 def impact_resolve(spark: SparkSession, d: str) -> DataFrame:
     """The node that each text means: an id, else the first symbol found."""
-    q = spark.createDataFrame([(SEED,), ("as_key",), ("trace",)], "q string")
     n = nodes(spark, d).select("id", "label")
-    hit = n.join(F.broadcast(q), (F.col("id") == F.col("q")) | F.contains(F.lower("label"), F.lower("q")))
+    means = lambda q: F.when((F.col("id") == q) | F.contains(F.lower("label"), F.lit(q.lower())), q)
+    hit = n.select("id", "label", F.explode(F.array_compact(F.array(*map(means, (SEED, "as_key", "trace"))))).alias("q"))
     w = Window.partitionBy("q").orderBy(F.desc(F.col("id") == F.col("q")), F.desc(F.lower("label") == F.lower("q")), "label", "id")
     return hit.withColumn("r", F.row_number().over(w)).where("r = 1").select("q", "id")
 
@@ -216,7 +216,8 @@ def engine_stats(spark: SparkSession, d: str) -> DataFrame:
     one = lambda df, c: df.agg(F.count("*").alias(c))
     c = table(spark, d, "chunks").agg(F.countDistinct("id").alias("chunks"))
     f = table(spark, d, "features").agg(F.countDistinct("vector_id").alias("features"))
-    return c.join(one(nodes(spark, d), "nodes")).join(one(edges(spark, d), "edges")).join(f)
+    rows = c.unionByName(one(nodes(spark, d), "nodes"), True).unionByName(one(edges(spark, d), "edges"), True).unionByName(f, True)
+    return rows.agg(*(F.max(x).alias(x) for x in ("chunks", "nodes", "edges", "features")))
 
 
 CF = "cf AS (SELECT hash, min(seq) AS seq, file FROM (SELECT hash, seq, unnest(files) AS file FROM commits WHERE hash IS NOT NULL) WHERE file IS NOT NULL GROUP BY hash, file)"

@@ -15,15 +15,14 @@ from ..sources import files, parsers
 from ..streaming import watch
 from . import graph_queries as GQ
 from .catalog import query
-from .text_queries import CH, _chunks, _searches
+from .text_queries import CH, CODE, _chunks, _searches
 
 PAIR = "pr AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM embeddings))"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    n = e.agg(F.count("*").alias("n"))
-    a = e.join(F.broadcast(n)).select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"), F.pmod(F.col("vec_id") * 7 + 3, F.col("n")).alias("b_id"))
+    a = e.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"), F.pmod(F.col("vec_id") * 7 + 3, F.lit(e.count())).alias("b_id"))
     return a.join(e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b")), "b_id")
 
 
@@ -67,7 +66,7 @@ def feature_space_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "features").groupBy("space").agg(F.count("*").alias("n"))
 
 
-@query("override_vectors")
+@query("override_vectors", f"WITH {CH}, g AS (SELECT vector_id, min(vector) AS given FROM features WHERE space = 'BinaryFingerprint' AND len(vector) = 256 GROUP BY vector_id) SELECT ch.id, CASE WHEN given IS NOT NULL THEN 'BinaryFingerprint' WHEN regexp_extract(file_path, '[^/.][^/]*\\.([^./]+)$', 1) IN {CODE} THEN 'Code' ELSE 'Text' END AS space, given FROM ch LEFT JOIN g USING (vector_id)")
 def override_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Given vectors in place of hashed ones, for chunks that have them."""
     given = table(spark, d, "features").where("space = 'BinaryFingerprint' and size(vector) = 256").groupBy("vector_id").agg(F.min("vector").alias("given"))
@@ -78,6 +77,11 @@ def _embeddings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
+def _vector(e: DataFrame, i: int):
+    """One vector as a literal."""
+    return F.array(*(F.lit(float(x)) for x in e.where(F.col("id") == i).first()["vector"]))
+
+
 def _ann_sql(distance: str) -> str:
     return f"""SELECT query_id, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM
         (SELECT q.vec_id AS query_id, e.vec_id AS id, round({distance}, 6) AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)) WHERE rank <= 10"""
@@ -102,16 +106,15 @@ _ann_query("l2", f"list_distance({A}, {B})")
 def topk_ann(spark: SparkSession, d: str) -> DataFrame:
     """The ten vectors nearest to one."""
     e = _embeddings(spark, d)
-    q = e.where("id = 5").select(F.col("vector").alias("q"))
-    return e.join(F.broadcast(q)).select("id", F.round(V.cosine_distance(F.col("q"), F.col("vector")), 6).alias("distance")).orderBy("distance", "id").limit(10)
+    return e.select("id", F.round(V.cosine_distance(_vector(e, 5), F.col("vector")), 6).alias("distance")).orderBy("distance", "id").limit(10)
 
 
 @query("join_cross_vectors", f"SELECT q.vec_id AS query_id, count(*) AS n, round(avg(list_inner_product({A}, {B})), 6) AS mean FROM embeddings q, embeddings e WHERE q.vec_id IN (1, 2, 3) GROUP BY ALL")
 def join_cross_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Three given vectors against all."""
     e = _embeddings(spark, d)
-    q = e.where("id in (1, 2, 3)").toDF("query_id", "q")
-    return e.join(F.broadcast(q)).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg(V.dot(F.col("q"), F.col("vector"))), 6).alias("mean"))
+    each = F.array(*(F.struct(F.lit(i).cast("bigint").alias("query_id"), V.dot(_vector(e, i), F.col("vector")).alias("x")) for i in (1, 2, 3)))
+    return e.select(F.explode(each).alias("q")).groupBy("q.query_id").agg(F.count("*").alias("n"), F.round(F.avg("q.x"), 6).alias("mean"))
 
 
 @query("topk_per_query", "SELECT event_type, event_id, value, rank FROM (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5")
@@ -123,25 +126,27 @@ def topk_per_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ann_lsh")
 def ann_lsh(spark: SparkSession, d: str) -> DataFrame:
-    """Near vectors by random hyperplanes, ranked exactly."""
-    return retrieval.lsh_knn(_embeddings(spark, d), 10, bits=6, tables=12)
+    """Near vectors of every fiftieth one by random hyperplanes, ranked exactly."""
+    e = _embeddings(spark, d)
+    return retrieval.lsh_knn(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), e, 10, bits=6, tables=12)
 
 
 @query("ann_recall")
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall of the hyperplanes for every fiftieth vector."""
     e = _embeddings(spark, d)
-    gold = retrieval.exact_knn(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), e, 11).where("query_id <> id and rank <= 11")
-    found = retrieval.lsh_knn(e, 10, bits=6, tables=12).select(F.col("id").alias("query_id"), F.col("near").alias("id"))
-    return evaluate.recall(found, gold.select("query_id", "id"))
+    q = e.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    gold = retrieval.exact_knn(q, e, 10)
+    found = retrieval.lsh_knn(q, e, 10, bits=6, tables=12)
+    return evaluate.recall(found.select("query_id", "id"), gold.select("query_id", "id"))
 
 
 @query("set_intersect_topk", f"SELECT id FROM (SELECT e.vec_id AS id FROM embeddings q, embeddings e WHERE q.vec_id = 5 ORDER BY round(1 - list_cosine_similarity({A}, {B}), 6), e.vec_id LIMIT 40) INTERSECT SELECT id FROM (SELECT e.vec_id AS id FROM embeddings q, embeddings e WHERE q.vec_id = 5 ORDER BY round(-list_inner_product({A}, {B}), 6), e.vec_id LIMIT 40)")
 def set_intersect_topk(spark: SparkSession, d: str) -> DataFrame:
     """Vectors near to one under two metrics."""
     e = _embeddings(spark, d)
-    q = F.broadcast(e.where("id = 5").select(F.col("vector").alias("q")))
-    top = lambda m: e.join(q).select("id", F.round(V.distance(m, F.col("q"), F.col("vector")), 6).alias("x")).orderBy("x", "id").limit(40).select("id")
+    q = _vector(e, 5)
+    top = lambda m: e.select("id", F.round(V.distance(m, q, F.col("vector")), 6).alias("x")).orderBy("x", "id").limit(40).select("id")
     return top("cosine").intersect(top("dot"))
 
 
@@ -363,7 +368,7 @@ def index_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return count(c, "chunks").unionByName(count(n, "nodes")).unionByName(count(valid, "edges")).unionByName(count(bm25.term_frequencies(c), "postings"))
 
 
-@query("gitlog_sessionize")
+@query("gitlog_sessionize", "WITH c AS (SELECT * FROM commits WHERE hash IS NOT NULL AND len(files) > 0), f AS (SELECT seq, hash, coalesce(subject, '') AS subject, list_filter(files, lambda x: x IS NOT NULL AND trim(x) <> '') AS files, row_number() OVER (ORDER BY seq) AS n FROM c) SELECT CAST(n AS BIGINT) AS seq, hash, subject, files FROM f WHERE len(files) > 0")
 def gitlog_sessionize(spark: SparkSession, d: str) -> DataFrame:
     """Commits out of the lines of a log; each commit's lines are put out and read again."""
     c = table(spark, d, "commits").where("hash is not null and size(files) > 0")
@@ -371,10 +376,16 @@ def gitlog_sessionize(spark: SparkSession, d: str) -> DataFrame:
     return files.parse_git_log(lines.select((F.col("seq") * 100_000 + F.col("k")).alias("line_no"), "line"))
 
 
-@query("debounce_batches")
+@query(
+    "debounce_batches",
+    """WITH RECURSIVE e AS (SELECT event_type, date_trunc('day', ts) AS day, ts FROM events WHERE ts IS NOT NULL),
+    b AS (SELECT event_type, day, min(ts) AS s FROM e GROUP BY ALL UNION ALL
+        SELECT b.event_type, b.day, min(e.ts) FROM b JOIN e ON e.event_type = b.event_type AND e.day = b.day AND e.ts > b.s + INTERVAL 300 SECOND GROUP BY b.event_type, b.day, b.s)
+    SELECT b.event_type, b.s AS batch_start, count(*) AS n FROM b JOIN e ON e.event_type = b.event_type AND e.day = b.day AND e.ts >= b.s AND e.ts <= b.s + INTERVAL 300 SECOND GROUP BY ALL""",
+)
 def debounce_batches(spark: SparkSession, d: str) -> DataFrame:
     """Batches of events within 5 minutes of their first."""
-    return watch.debounce(table(spark, d, "events"), "ts", "event_type", 300_000).groupBy("event_type", "batch_start").agg(F.count("*").alias("n"))
+    return watch.debounce(table(spark, d, "events"), "ts", "event_type", 300_000).groupBy("event_type", F.col("batch_start").cast("timestamp_ntz").alias("batch_start")).agg(F.count("*").alias("n"))
 
 
 @query("stream_events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -387,8 +398,9 @@ def stream_events(spark: SparkSession, d: str) -> DataFrame:
     q.awaitTermination()
     closed = spark.read.schema("start timestamp, event_type string, n bigint, total double").parquet(f"{out}/rows")
     # windows that the watermark has not closed yet come from the table
-    last = closed.agg(F.max("start").alias("m"))
-    rest = watch.windowed_counts(e).join(F.broadcast(last)).where("m is null or start > m").drop("m")
+    last = closed.agg(F.max("start")).first()[0]
+    rest = watch.windowed_counts(e)
+    rest = rest if last is None else rest.where(F.col("start") > F.lit(last))
     return closed.unionByName(rest).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

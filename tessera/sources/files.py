@@ -86,28 +86,71 @@ def fixture(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return docs, qrels
 
 
+def _context(spark: SparkSession):
+    """Hadoop's file context, which replaces files atomically where the file system can."""
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _put(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """Write a small file whole: under another name first, then renamed over the old one."""
+    if "://" not in folder:
+        os.makedirs(folder, exist_ok=True)
+        tmp = os.path.join(folder, f".{uuid.uuid4().hex}")
+        with open(tmp, "w") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(tmp, os.path.join(folder, name))
+        return
+    fs, jvm = _context(spark), spark.sparkContext._jvm
+    path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}")
+    tmp = path(f".{uuid.uuid4().hex}")
+    flags = jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE)
+    opts = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$CreateOpts"), 0)
+    out = fs.create(tmp, flags, opts)
+    out.write(bytearray(text.encode()))
+    out.hsync()
+    out.close()
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    fs.rename(tmp, path(name), over)
+
+
+def _get(spark: SparkSession, folder: str, name: str) -> str | None:
+    """A small file's text; None where there is none."""
+    if "://" not in folder:
+        at = os.path.join(folder, name)
+        if not os.path.exists(at):
+            return None
+        with open(at) as f:
+            return f.read()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(f"{folder}/{name}").collect())
+
+
 def save_snapshot(tables: dict[str, DataFrame], folder: str) -> str:
-    """Write tables as a new version and point to it at last; a failure leaves the old version in force."""
+    """Write tables as a new version and point to it at last; a failure leaves the old version in force.
+
+    ``folder`` may be a local path or any place that Hadoop's file systems reach.
+    """
     version = f"v-{uuid.uuid4().hex}"
+    spark = None
     for name, df in tables.items():
+        spark = df.sparkSession
         df.write.parquet(f"{folder}/{version}/{name}")
-    os.makedirs(folder, exist_ok=True)
-    tmp = os.path.join(folder, f".{version}")
-    with open(tmp, "w") as f:
-        json.dump({"version": version, "tables": sorted(tables)}, f)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(tmp, os.path.join(folder, "CURRENT"))
+    if spark is not None:
+        _put(spark, folder, "CURRENT", json.dumps({"version": version, "tables": sorted(tables)}))
     return version
 
 
 def load_snapshot(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of the version in force; empty where there is none."""
-    at = os.path.join(folder, "CURRENT")
-    if not os.path.exists(at):
+    text = _get(spark, folder, "CURRENT")
+    if text is None:
         return {}
-    with open(at) as f:
-        m = json.load(f)
+    m = json.loads(text)
     return {t: spark.read.parquet(f"{folder}/{m['version']}/{t}") for t in m["tables"]}
 
 

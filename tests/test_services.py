@@ -64,6 +64,14 @@ def test_snapshot_failure_keeps_the_old_version(spark, tmp_path):
     assert files.load_snapshot(spark, d)["t"].count() == 3
 
 
+def test_snapshot_through_hadoop(spark, tmp_path):
+    d = f"file://{tmp_path}/hdb"
+    assert files.load_snapshot(spark, d) == {}
+    for n in (2, 5):
+        files.save_snapshot({"t": spark.range(n).toDF("x")}, d)
+        assert files.load_snapshot(spark, d)["t"].count() == n
+
+
 def test_benchmarks(spark):
     out = benchmarks.ann(spark, 200, 16, 10, 5)
     assert out["recall_at_k"] > 0.9

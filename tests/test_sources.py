@@ -58,23 +58,51 @@ def test_git_log(spark):
     assert [(r["hash"], r["subject"], r["files"]) for r in got] == [("a1", "first | x", ["f1", "f2"]), ("c3", "last", ["f1"])]
 
 
+def test_chunk_ends_move_to_nodes(spark):
+    c = spark.createDataFrame([("c1", "f", 1, 2, "n1"), ("c2", "f", 3, 4, None)], "id string, file_path string, start_line int, end_line int, node_id string")
+    n = spark.createDataFrame([("n1", "x", "Function", "f")], "id string, label string, kind string, file_path string")
+    e = spark.createDataFrame([("c1", "c2", "NextChunk"), ("n1", "zz", "Calls")], "source string, target string, kind string")
+    nodes, edges = parsers.normalize_chunk_edges(c, n, e)
+    assert {(r["id"], r["kind"]) for r in nodes.collect()} == {("n1", "Function"), ("c2", "Chunk")}
+    assert {(r["source"], r["target"]) for r in edges.collect()} == {("n1", "c2"), ("n1", "zz")}
+
+
 def test_refresh_equals_a_fresh_run(spark, tmp_path):
+    """Seeded creations, edits, deletions, moves and copies over six paths."""
     root = str(tmp_path / "r")
     rnd = random.Random(3)
-    for i in range(3):
-        write(root, f"m{i}.py", f"def name_{i}(x):\n    return name_{(i + 1) % 3}(x)\n")
+    paths = [f"m{i}.{'md' if i % 3 == 0 else 'py'}" for i in range(6)]
+    made = 0
+
+    def text(path):
+        nonlocal made
+        made += 1
+        return f"# Head {made}\n[x](#two)\n## Two\nword{made}\n" if path.endswith("md") else f"def name_{made}(x):\n    return name_{rnd.randint(1, made)}(x)\n"
+
+    for p in paths[:3]:
+        write(root, p, text(p))
     e = Engine(str(tmp_path / "db"), spark)
     e.index(root)
-    write(root, "m1.py", "def name_1(x):\n    return 7\n\ndef other_name(y):\n    return name_0(y)\n")
-    write(root, "new.md", f"# New {rnd.random()}\ntext\n")
-    os.remove(os.path.join(root, "m2.py"))
-    e.refresh(root)
+    for _ in range(3):
+        for _ in range(4):
+            have = sorted(os.listdir(root))
+            p, other = rnd.choice(paths), rnd.choice(paths)
+            op = rnd.choice(["edit", "edit", "delete", "move", "copy"])
+            full = os.path.join(root, p)
+            if op == "edit" or p not in have:
+                write(root, p, text(p))
+            elif op == "delete":
+                os.remove(full)
+            elif op == "move" and p != other:
+                os.replace(full, os.path.join(root, other))
+            elif op == "copy" and p != other:
+                write(root, other, open(full).read())
+        e.refresh(root)
     fresh = Engine(str(tmp_path / "db2"), spark)
     fresh.index(root)
     for t in ("chunks", "nodes", "edges"):
         rows = lambda x: sorted(map(repr, x.tables[t].collect()))  # noqa: E731, B023
         assert rows(e) == rows(fresh), t
-    assert e.search("other name", 2, 0).hits.first()["file_path"] == "m1.py"
     again = Engine(str(tmp_path / "db"), spark)
     assert again.stats() == e.stats()
 
