@@ -246,8 +246,8 @@ def nearest(
                 cand = np.sort(np.concatenate(found))
                 s, e = q_starts[c]
                 mine = q_by[s:e]
-                for at in range(0, len(mine), 512):
-                    m = mine[at : at + 512]
+                for at in range(0, len(mine), 256):
+                    m = mine[at : at + 256]
                     cos = np.rint(asks[m] @ base[cand].T * 1e6).astype(np.int64)
                     cos[q_keys[m][:, None] == keys[cand][None]] = -(10**7)
                     # larger cosine first, then the entry whose smallest id is smaller

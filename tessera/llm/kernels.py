@@ -47,13 +47,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0][:n], _POW[1][:n]
 
 
+def _offsets(arr: pa.Array) -> np.ndarray:
+    """Where each row of a text column begins in its data, of either width of offsets."""
+    wide = pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type)
+    return np.frombuffer(arr.buffers()[1], np.int64 if wide else np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``most`` bytes of ``column``, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         arr = batch.column(batch.schema.get_field_index(column))
-        off = np.frombuffer(arr.buffers()[1], np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
+        off = _offsets(arr)
         at = 0
         while at < len(arr):
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
@@ -63,7 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
 
 def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the n+1 offsets of the rows in them."""
-    off = np.frombuffer(arr.buffers()[1], np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
+    off = _offsets(arr)
     data = np.frombuffer(arr.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
     return data, off - off[0]
 

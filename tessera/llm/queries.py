@@ -128,6 +128,8 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"""WITH u AS ({usable}), c AS (SELECT a.vector_id AS x, b.vector_id AS y, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM u a JOIN u b ON a.space = b.space AND a.vector_id <> b.vector_id),
             r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS r FROM c)
             SELECT DISTINCT least(x, y) AS vector_id_a, greatest(x, y) AS vector_id_b FROM r WHERE r <= 10 AND c >= 0.85""",
+        "p3_neighbours": f"""WITH u AS ({usable}), c AS (SELECT a.vector_id AS id, a.space, b.vector_id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM u a JOIN u b ON a.space = b.space AND a.vector_id <> b.vector_id)
+            SELECT id, space, neighbour, cosine, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY space, id ORDER BY cosine DESC, neighbour) AS rank FROM c) WHERE rank <= 10""",
         "p5_found": r"""
             SELECT id FROM chunks
             WHERE id IS NOT NULL AND (length(content) > 4000 OR len(regexp_extract_all(content, '[^ \t\r\n]+')) > 320)
@@ -135,6 +137,9 @@ def oracle_sql() -> dict[str, str]:
         """,
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p8_found": f"WITH {_WINDOWS}, x AS (SELECT DISTINCT doc_id, h FROM w) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id",
+        "p8_spans": f"""WITH {_WINDOWS}, m AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), s AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM w WHERE h IN (SELECT h FROM m)),
+            g AS (SELECT doc_id, i, sum(CASE WHEN gap IS NULL OR gap > 150 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s)
+            SELECT doc_id, CAST(min(i) - 1 AS BIGINT) AS start, CAST(max(i) + 149 AS BIGINT) AS end FROM g GROUP BY doc_id, k""",
         "p8_share": f"""WITH {_WINDOWS}, m AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), s AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i AS gap FROM w WHERE h IN (SELECT h FROM m)),
             t AS (SELECT doc_id, sum(CASE WHEN gap IS NULL OR gap > 150 THEN 1 ELSE 0 END) AS spans, sum(least(150, coalesce(gap, 150))) AS chars FROM s GROUP BY doc_id)
             SELECT doc_id, length(text) AS n_chars, CAST(coalesce(spans, 0) AS BIGINT) AS spans, CAST(coalesce(chars, 0) AS BIGINT) AS shared_chars, round(coalesce(chars / length(text)::DOUBLE, 0), 6) AS share FROM documents LEFT JOIN t USING (doc_id)""",
