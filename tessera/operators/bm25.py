@@ -23,10 +23,11 @@ def term_frequencies(docs: DataFrame, id_col: str = "id", text_col: str = "conte
     if it comes before any such word. Placing the texts by id first keeps all
     further grouping within tasks.
     """
-    w = tokens(docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).repartition(id_col), id_col, text_col)
-    full = w.select("id", F.lower("word").alias("term"), "pos", F.lit(1).alias("is_full"))
-    parts = w.select("id", F.explode(T.identifier_parts(F.col("word"))).alias("term"), "pos", F.lit(0).alias("is_full"))
-    g = full.unionByName(parts).groupBy("id", "term").agg(
+    src = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).repartition(id_col)
+    one = lambda t, full: F.struct(t.alias("term"), F.lit(full).alias("is_full"))
+    each = F.concat(F.array(one(F.lower("word"), 1)), F.transform(T.identifier_parts(F.col("word")), lambda p: one(p, 0)))
+    t = tokens(src, id_col, text_col).select("id", "pos", F.explode(each).alias("t")).select("id", "pos", "t.term", "t.is_full")
+    g = t.groupBy("id", "term").agg(
         F.sum("is_full").alias("n"), F.min(F.when(F.col("is_full") == 1, F.col("pos"))).alias("f"), F.min(F.when(F.col("is_full") == 0, F.col("pos"))).alias("s")
     )
     tf = F.col("n") + F.when(F.col("s").isNotNull() & (F.col("f").isNull() | (F.col("s") < F.col("f"))), 1).otherwise(0)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..session import materialize
 from . import bm25
 
 DIM, RRF_K = 256, 60
@@ -21,11 +22,12 @@ CODE_EXTENSIONS = ("rs", "py", "js", "ts", "jsx", "tsx", "go", "c", "cpp", "h",
 
 def feature_counts(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """``(id, feature, count)``: words 1, character trigrams 0.5, word pairs 1.5 each time they occur."""
-    t = docs.select(F.col(id_col).alias("id"), T.embed_tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0).repartition("id")
-    one = t.select("id", F.explode("t").alias("feature"), F.lit(1.0).alias("w"))
-    grams = t.select("id", F.explode("t").alias("tok")).select("id", F.explode(T.char_grams(F.col("tok"))).alias("feature"), F.lit(0.5).alias("w"))
-    pairs = t.select("id", F.explode(T.bigrams(F.col("t"))).alias("feature"), F.lit(1.5).alias("w"))
-    return one.unionByName(grams).unionByName(pairs).groupBy("id", "feature").agg(F.sum("w").alias("count"))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).repartition("id")
+    t = src.select("id", T.embed_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    some = lambda a, w: F.transform(a, lambda x: F.struct(x.alias("feature"), F.lit(w).alias("w")))
+    grams = F.flatten(F.transform("t", lambda x: T.char_grams(x)))
+    each = F.concat(some(F.col("t"), 1.0), some(grams, 0.5), some(T.bigrams(F.col("t")), 1.5))
+    return t.select("id", F.explode(each).alias("f")).groupBy("id", F.col("f.feature").alias("feature")).agg(F.sum("f.w").alias("count"))
 
 
 def hash_buckets(docs: DataFrame, id_col: str = "id", text_col: str = "content", dim: int = DIM) -> DataFrame:
@@ -150,13 +152,11 @@ def dense_lists(chunks: DataFrame, queries: DataFrame, limit: int) -> dict[str,
     q = hash_buckets(queries, "query_id", "query").toDF("query_id", "bucket", "q")
     # only buckets of the queries matter; a query has at most DIM of them
     dots = cells.join(q, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("value") * F.col("q")).alias("sim"))
-    pairs = src.select("id", "space").join(dots, "id")
-    out = {}
-    for s in ("Text", "Code"):
-        d = pairs.where(F.col("space") == s).select("query_id", "id", F.round(1 - F.col("sim"), 6).alias("distance"))
-        w = Window.partitionBy("query_id").orderBy("distance", "id")
-        out[s] = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-    return out
+    near = src.select("id", "space").join(dots, "id").select("query_id", "id", "space", F.round(1 - F.col("sim"), 6).alias("distance"))
+    w = Window.partitionBy("query_id", "space").orderBy("distance", "id")
+    # at most limit rows a query and space; written, as fusion and scoring both read them
+    best = materialize(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit), "dense")
+    return {s: best.where(F.col("space") == s).select("query_id", "id", "distance", "rank") for s in ("Text", "Code")}
 
 
 def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 5, mode: str = "hybrid", tf: DataFrame | None = None) -> DataFrame:
