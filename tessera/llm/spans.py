@@ -28,8 +28,9 @@ from ..session import materialize
 from . import kernels as K
 
 MIN_CHARS = 150
-#: Characters an anchor hashes, characters of reference text in a shard, and of streamed text in a task.
-ANCHOR, SHARD_CHARS, STREAM_CHARS = 100, 60_000, 400_000
+#: Characters an anchor hashes; characters of differing and of all reference text in a shard, and of
+#: streamed text in a task.
+ANCHOR, SHARD_CHARS, MOST_SHARD_CHARS, STREAM_CHARS = 100, 60_000, 400_000, 400_000
 _LOW = (1 << 24) - 1
 _SEGMENT = 1 << 19
 
@@ -182,8 +183,11 @@ class Automaton:
                 yield i + 1, texts[v]
 
 
-def _match(min_chars: int):
-    """One task: the automaton of a shard's reference stretches, and the streamed ones against it."""
+def _match(min_chars: int, pairs: bool):
+    """One task: the automaton of a shard's reference stretches, and the streamed ones against it.
+
+    Gives either pairs, each in the order of hashes and so from one side alone, or spans.
+    """
 
     def f(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).select(["is_ref", "fp", "at", "stretch"]).to_pydict()
@@ -196,7 +200,7 @@ def _match(min_chars: int):
                     names.append(fp)
                 auto.add(text, bit[fp])
         auto.finish(min_chars)
-        spans: list[tuple] = []
+        out: list[list] = [[], [], []]
         seen: dict[int, int] = {}
         for ref, fp, at, text in rows:
             if ref:
@@ -205,27 +209,34 @@ def _match(min_chars: int):
             start = end = -1
             for stop, who in auto.matches(text, min_chars):
                 who &= ~own
-                if who:
+                if not who:
+                    continue
+                if pairs:
                     seen[fp] = seen.get(fp, 0) | who
-                    if stop - min_chars > end:
-                        if end >= 0:
-                            spans.append((fp, at + start, at + end, None))
-                        start = stop - min_chars
-                    end = stop
+                    continue
+                if stop - min_chars > end:
+                    if end >= 0:
+                        out[0].append(fp), out[1].append(at + start), out[2].append(at + end)
+                    start = stop - min_chars
+                end = stop
             if end >= 0:
-                spans.append((fp, at + start, at + end, None))
+                out[0].append(fp), out[1].append(at + start), out[2].append(at + end)
+        if not pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["fp", "start", "end"])
+            return
+        all_names = np.array(names, np.int64)
         for fp, who in seen.items():
-            while who:
-                low = who & -who
-                spans.append((fp, None, None, names[low.bit_length() - 1]))
-                who ^= low
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*spans) if spans else [[]] * 4)], ["fp", "start", "end", "other"])
+            bits = np.unpackbits(np.frombuffer(who.to_bytes((len(names) + 7) // 8, "little"), np.uint8), bitorder="little")[: len(names)]
+            others = all_names[bits.astype(bool)]
+            others = others[others > fp]
+            if len(others):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), fp, np.int64)), pa.array(others)], ["fp", "other"])
 
     return f
 
 
-def _matched(docs: DataFrame, min_chars: int, k: int) -> DataFrame:
-    """``(fp, start, end, other)`` by hash of text: spans have ``start`` and ``end``, partners have ``other``."""
+def _matched(docs: DataFrame, min_chars: int, k: int, pairs: bool) -> DataFrame:
+    """By hash of text either ``(fp, other)``, ``fp < other``, or the spans ``(fp, start, end)``."""
     src = docs.select(F.xxhash64("text").alias("fp"), "text").where(F.length("text") >= min_chars)
     found = src.mapInArrow(_anchor_runs(min_chars, k), "anchor bigint, fp bigint, p0 bigint, p1 bigint")
     # an anchor of several texts; copies of a text count once
@@ -262,8 +273,11 @@ def _matched(docs: DataFrame, min_chars: int, k: int) -> DataFrame:
     total = stretches.agg(F.sum(F.length("stretch"))).first()[0] or 0
     buckets = max(1, -(-total // SHARD_CHARS))
     chars = F.length("stretch")
-    sized = stretches.groupBy("fp", F.pmod("home", F.lit(buckets)).alias("bucket")).agg(F.sum(chars).alias("chars"))
-    split = sized.groupBy("bucket").agg(F.ceil(F.sum("chars") / SHARD_CHARS).cast("int").alias("parts"))
+    sized = stretches.groupBy("fp", "home", F.pmod("home", F.lit(buckets)).alias("bucket")).agg(F.sum(chars).alias("chars"))
+    # texts of one home repeat each other but for the margins, and repeated text adds no states
+    homes = sized.groupBy("bucket", "home").agg(F.sum("chars").alias("c"), F.count("*").alias("m"))
+    fresh = F.least(F.col("c"), F.col("c") / F.col("m") + F.col("m") * (2 * margin))
+    split = homes.groupBy("bucket").agg(F.greatest(F.ceil(F.sum(fresh) / SHARD_CHARS), F.ceil(F.sum("c") / MOST_SHARD_CHARS)).cast("int").alias("parts"))
     home = materialize(
         sized.join(split, "bucket").select("fp", "chars", F.xxhash64("bucket", F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("shard")), "shards"
     )
@@ -275,7 +289,7 @@ def _matched(docs: DataFrame, min_chars: int, k: int) -> DataFrame:
     refs = home.join(load, "shard").select("fp", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_ref"))
     # a text at home in the block's shard is both reference and stream; it comes as two rows
     work = refs.unionByName(streams).join(stretches.select("fp", "at", "stretch"), "fp")
-    return work.groupBy("shard", "block").applyInArrow(_match(min_chars), "fp bigint, start bigint, end bigint, other bigint")
+    return work.groupBy("shard", "block").applyInArrow(_match(min_chars, pairs), "fp bigint, other bigint" if pairs else "fp bigint, start bigint, end bigint")
 
 
 def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, k: int = ANCHOR) -> DataFrame:
@@ -285,7 +299,7 @@ def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     inside one record only is no case.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    pairs = _matched(src, min_chars, k).where("other is not null").select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+    pairs = _matched(src, min_chars, k, True).toDF("a", "b").distinct()
     m = src.where(F.length("text") >= min_chars).select("id", F.xxhash64("text").alias("fp")).distinct()
     far = pairs.join(m.toDF("x", "a"), "a").join(m.toDF("y", "b"), "b").where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     copied = m.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
@@ -297,7 +311,7 @@ def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, k: int = ANCHOR) -> DataFrame:
     """``(id, start, end)``: maximal stretches of each record, 0-based and end-exclusive, made of spans shared elsewhere."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    spans = _matched(src, min_chars, k).where("start is not null").select("fp", "start", "end")
+    spans = _matched(src, min_chars, k, False)
     m = src.where(F.length("text") >= min_chars).select("id", F.xxhash64("text").alias("fp"), F.length("text").cast("bigint").alias("n")).distinct()
     copied = m.groupBy("fp").agg(F.countDistinct("id").alias("c")).where("c > 1").select("fp")
     whole = m.join(copied, "fp", "left_semi").select("id", F.lit(0).cast("bigint").alias("start"), F.col("n").alias("end"))

@@ -40,6 +40,7 @@ def test_pairs_match_brute_force(spark):
 
 def test_small_shards_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "SHARD_CHARS", 500)
+    monkeypatch.setattr(S, "MOST_SHARD_CHARS", 900)
     monkeypatch.setattr(S, "STREAM_CHARS", 700)
     rows = docs(2)
     assert {tuple(r) for r in S.shared_pairs(frame(spark, rows)).collect()} == brute(rows)
@@ -54,6 +55,14 @@ def test_odd_rows(spark):
     assert S.shared_pairs(frame(spark, [])).collect() == [] and S.shared_share(frame(spark, [])).collect() == []
 
 
+def test_a_passage_of_many_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_SHARD_CHARS", 5000)
+    rnd = random.Random(9)
+    p = "".join(rnd.choice("abcdef ") for _ in range(260))
+    rows = [(i, "".join(rnd.choice("uvwxyz") for _ in range(90)) + p[: 200 + i] + "".join(rnd.choice("UVWXYZ") for _ in range(90))) for i in range(40)]
+    assert {tuple(r) for r in S.shared_pairs(frame(spark, rows)).collect()} == brute(rows)
+
+
 def test_exact_limit(spark):
     p = "".join(chr(97 + (i * 7 + i * i) % 26) for i in range(150))
     rows = [(1, "1" + p + "2"), (2, "3" + p + "4"), (3, p[:149] + "#")]
