@@ -95,12 +95,3 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     w.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def pick_partitions(rows: int, per_task: int, least: int = 1, most: int = 200_000) -> int:
-    """A partition count that follows the data, never a constant."""
-    return max(least, min(most, -(-rows // max(1, per_task))))
-
-
-def data_path(*parts: str) -> str:
-    return os.path.join(*parts)
