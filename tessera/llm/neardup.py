@@ -17,7 +17,6 @@ rare shingle or a common pair in some group.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -275,7 +274,3 @@ def near_duplicate_summary(texts: DataFrame, id_col: str = "id", column: str = "
     degree = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     copies = members.groupBy("class_id").agg(F.count("*").alias("copies"))
     return members.join(copies, "class_id").join(degree, "class_id", "left").select("id", "class_id", "n", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-
-
-def required_overlap(n: int, t: float) -> int:
-    return math.ceil(t * n - 1e-9)
