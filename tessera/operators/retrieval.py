@@ -97,30 +97,31 @@ def exact_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str =
 
 
 def lsh_candidates(queries: DataFrame, vectors: DataFrame, bits: int = 12, tables: int = 6, dim: int = 64, seed: int = 17, most: int = 400) -> DataFrame:
-    """``(query_id, id)`` of ``queries(query_id, vector)`` and ``vectors(id, vector)`` that share a bucket of random hyperplanes.
+    """``(query_id, id)`` of ``queries(query_id, vector)`` and ``vectors(id, vector)`` whose buckets of random hyperplanes differ in one plane at most.
 
-    Buckets of more than ``most`` vectors are cut by further planes, in proportion
-    to their size, so a dense region is no hot key.
+    Buckets of more than ``most`` vectors are dealt into parts, in proportion to
+    their size, so a dense region is no hot key; a query goes to all parts.
     """
-    planes = np.random.default_rng(seed).standard_normal((tables, bits + 16, dim))
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array(b.column(1).to_pylist(), dtype=np.float64)
-            for t in range(tables):
-                s = (x @ planes[t].T > 0).astype(np.int64)
-                low = s[:, :bits] @ (1 << np.arange(bits)) + (t << bits)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low), pa.array(s[:, bits:] @ (1 << np.arange(16)))], ["id", "bucket", "rest"])
-
-    schema = f"id {dict(vectors.dtypes)['id']}, bucket bigint, rest bigint"
-    s = vectors.select("id", "vector").mapInArrow(sign, schema)
-    q = queries.select(F.col("query_id").alias("id"), "vector").mapInArrow(sign, schema)
-    n = s.groupBy("bucket").agg(F.count("*").alias("n"))
-    extra = F.least(F.lit(16), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / most)))).cast("int")
-    cut = F.col("rest").bitwiseAND(F.pow(F.lit(2.0), extra).cast("bigint") - 1).alias("cut")
-    members = s.join(n, "bucket").select("bucket", cut, "id")
-    asks = q.join(n, "bucket").select("bucket", cut, F.col("id").alias("query_id"))
-    return asks.join(members, ["bucket", "cut"]).select("query_id", "id").distinct()
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
+    flips = np.concatenate(([0], 1 << np.arange(bits)))
+
+    def sign(probes: np.ndarray):
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.array(b.column(1).to_pylist(), dtype=np.float64)
+                for t in range(tables):
+                    own = (x @ planes[t].T > 0).astype(np.int64) @ (1 << np.arange(bits))
+                    for p in probes:
+                        yield pa.RecordBatch.from_arrays([b.column(0), pa.array((own ^ p) + (t << bits))], ["id", "bucket"])
+
+        return f
+
+    s = vectors.select("id", "vector").mapInArrow(sign(flips[:1]), f"id {dict(vectors.dtypes)['id']}, bucket bigint")
+    q = queries.select("query_id", "vector").mapInArrow(sign(flips), f"id {dict(queries.dtypes)['query_id']}, bucket bigint").withColumnRenamed("id", "query_id")
+    n = s.groupBy("bucket").agg(F.ceil(F.count("*") / most).alias("parts"))
+    members = s.join(n, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id")
+    asks = q.join(n, "bucket").select("query_id", "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    return asks.join(members, ["bucket", "part"]).select("query_id", "id").distinct()
 
 
 def lsh_knn(queries: DataFrame, vectors: DataFrame, k: int = 10, **how) -> DataFrame:

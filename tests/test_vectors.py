@@ -3,6 +3,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import evaluate, retrieval
+from tessera.plans import table_queries
+
+from .conftest import DATA
 
 
 def test_functions_match_numpy(spark):
@@ -34,6 +37,21 @@ def test_exact_knn_in_blocks(spark):
         assert [i for _, i in sorted(by[q])] == sorted(range(60), key=lambda i: (d[i], i))[:5]
 
 
+def test_hyperplanes_find_nine_tenths(spark):
+    assert table_queries.ann_recall(spark, DATA).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_parts_of_large_buckets_are_all_probed(spark):
+    x = np.random.default_rng(4).standard_normal((300, 8)) + 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<double>")
+    q = df.where("id < 20").withColumnRenamed("id", "query_id")
+    whole, parts = ({tuple(r) for r in retrieval.lsh_candidates(q, df, bits=3, tables=2, dim=8, most=m).collect()} for m in (1000, 5))
+    planes = np.random.default_rng(17).standard_normal((2, 3, 8))
+    side = np.stack([x @ p.T > 0 for p in planes])
+    want = {(i, j) for i in range(20) for j in range(300) if ((side[:, i] != side[:, j]).sum(1) <= 1).any()}
+    assert whole == parts == want
+
+
 def test_embedding_is_nearer_for_similar_texts(spark):
     t = [("a", "parse the query plan"), ("b", "parse a query plan"), ("c", "weather tomorrow sunny"), ("d", None), ("e", "")]
     v = {r["id"]: np.array(r["vector"]) for r in retrieval.hash_embed(spark.createDataFrame(t, "id string, content string")).collect()}
