@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -308,20 +310,56 @@ def _md_lines(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("h", F.when(F.rlike(F.col("l"), F.lit(r"^#{1,6}\s+")), 1).otherwise(0))
 
 
-@query("md_sections", f"WITH {_MD}, s AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY line) AS sec FROM hd) SELECT doc_id, CAST(sec AS BIGINT) AS section, CAST(min(line) AS BIGINT) AS start_line, CAST(max(line) AS BIGINT) AS end_line, count(*) AS lines FROM s GROUP BY ALL")
-def md_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Sections of documents without fences, by a running count of headings."""
+def _md_fenced(spark: SparkSession, d: str) -> DataFrame:
+    """``(doc_id, line, h, title)`` of all documents: lines in fences and lines that mark them are no headings."""
+    t = table(spark, d, "documents").where("text is not null")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                lines = b.column(1)[i].as_py()
+                titles = parsers.headings(lines)[1]
+                n = len(lines)
+                at = [k in titles for k in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], n), pa.array(range(1, n + 1), pa.int64()), pa.array(at).cast(pa.int32()), pa.array([titles.get(k) for k in range(n)], pa.string())], ["doc_id", "line", "h", "title"])
+
+    return t.select("doc_id", T.lines(F.col("text")).alias("l")).mapInArrow(f, f"doc_id {dict(t.dtypes)['doc_id']}, line bigint, h int, title string")
+
+
+def _sections(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("line")
-    s = _md_lines(spark, d).withColumn("section", F.sum("h").over(w).cast("bigint"))
+    s = lines.withColumn("section", F.sum("h").over(w).cast("bigint"))
     return s.groupBy("doc_id", "section").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.count("*").alias("lines"))
 
 
+def _ordinals(heads: DataFrame) -> DataFrame:
+    return heads.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("line")).cast("bigint") - 1)
+
+
+@query("md_sections", f"WITH {_MD}, s AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY line) AS sec FROM hd) SELECT doc_id, CAST(sec AS BIGINT) AS section, CAST(min(line) AS BIGINT) AS start_line, CAST(max(line) AS BIGINT) AS end_line, count(*) AS lines FROM s GROUP BY ALL")
+def md_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of documents without fences, by a running count of headings; ``md_sections_whole`` takes all documents."""
+    return _sections(_md_lines(spark, d))
+
+
+@query("md_sections_whole")
+def md_sections_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of all documents, by a running count of the headings outside of fences."""
+    return _sections(_md_fenced(spark, d))
+
+
 @query("anchor_ordinals", rf"""WITH {_MD}, t AS (SELECT doc_id, line, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(l, '^#{{1,6}}\s+', '')), '[^a-z0-9_\-\s]', '', 'g'), '[\s-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM hd WHERE h = 1 AND NOT regexp_matches(l, '[^\x00-\x7f]'))
     SELECT doc_id, line, slug, row_number() OVER (PARTITION BY doc_id, slug ORDER BY line) - 1 AS ordinal FROM t""")
 def anchor_ordinals(spark: SparkSession, d: str) -> DataFrame:
-    """Number of each heading among those of equal anchor."""
+    """Number of each ASCII heading of documents without fences among those of equal anchor; ``anchor_ordinals_whole`` takes all headings."""
     t = _md_lines(spark, d).where("h = 1").where(~F.rlike(F.col("l"), F.lit(r"[^\x00-\x7f]"))).select("doc_id", "line", T.slug(F.regexp_replace("l", r"^#{1,6}\s+", "")).alias("slug"))
-    return t.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("line")).cast("bigint") - 1)
+    return _ordinals(t)
+
+
+@query("anchor_ordinals_whole")
+def anchor_ordinals_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Number of each heading outside of fences among those of equal anchor, in any script, among those of equal anchor."""
+    return _ordinals(_md_fenced(spark, d).where("h = 1").select("doc_id", "line", T.slug(F.col("title")).alias("slug")))
 
 
 @query("brace_blocks", rf"""WITH {CH}, l AS (SELECT id, unnest(x) AS l, generate_subscripts(x, 1) AS line FROM (SELECT id, string_split(content, chr(10)) AS x FROM ch WHERE content IS NOT NULL AND (ends_with(file_path, '.rs') OR ends_with(file_path, '.go'))))

@@ -2,8 +2,11 @@ import os
 import random
 
 from tessera.api import Engine
+from tessera.plans import table_queries
 from tessera.sources import files, parsers
 
+from .conftest import DATA
+
 
 def test_rust_python_script_symbols():
     rs = parsers.rust_symbols(["/// Doc", "pub fn a() {", "}", "impl T for S {", " fn m(&self) {", " }", "}", "pub struct P { x: u8 }", "impl E {", "}"])
@@ -27,6 +30,26 @@ def test_markdown_sections():
     assert s[0].links == [(2, "two")]
 
 
+def test_sections_and_anchors_of_all_documents(spark, tmp_path):
+    texts = [
+        "intro\n# One\n```\n# no\n~~~\n## no\n```\n## Two\r\nt\n## Two\n",
+        "~~~ x\n# no\n```\n~~~\n# Überblick\n# Überblick\n#none\n# 記値 検索\n```\n# open to the end",
+        "# Plain\nt\n# Plain\n# Other", "", None,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    got = rows(table_queries.md_sections_whole(spark, str(tmp_path)).select("doc_id", "section", "start_line", "end_line", "lines"))
+    assert got == {(0, 0, 1, 1, 1), (0, 1, 2, 7, 6), (0, 2, 8, 9, 2), (0, 3, 10, 10, 1), (1, 0, 1, 4, 4), (1, 1, 5, 5, 1), (1, 2, 6, 7, 2), (1, 3, 8, 10, 3), (2, 1, 1, 2, 2), (2, 2, 3, 3, 1), (2, 3, 4, 4, 1), (3, 0, 1, 1, 1)}
+    got = rows(table_queries.anchor_ordinals_whole(spark, str(tmp_path)).select("doc_id", "line", "slug", "ordinal"))
+    assert got == {(0, 2, "one", 0), (0, 8, "two", 0), (0, 10, "two", 1), (1, 5, "überblick", 0), (1, 6, "überblick", 1), (1, 8, "記値-検索", 0), (2, 1, "plain", 0), (2, 3, "plain", 1), (2, 4, "other", 0)}
+
+
+def test_whole_sections_hold_those_of_documents_without_fences(spark):
+    for name in ("md_sections", "anchor_ordinals"):
+        a, b = (getattr(table_queries, n)(spark, DATA) for n in (name, name + "_whole"))
+        assert a.count() and not a.select(b.columns).exceptAll(b).count()
+
+
 def test_pdf_literals():
     pdf = b"%PDF-1.4\nstream\nBT (Visible heading) Tj ET\nBT [(Split) -20 ( para\\(graph)] TJ (hid) ET (x) Tj\nendstream"
     assert parsers.pdf_sections(pdf) == ["Visible heading Split para(graph"]
