@@ -165,10 +165,16 @@ def khop_edges(spark: SparkSession, d: str) -> DataFrame:
     SELECT hit, related, rank FROM (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY o, related) AS rank FROM o WHERE hit IN (SELECT id FROM nd WHERE kind = 'Function')) WHERE rank <= 5""",
 )
 def context_expand(spark: SparkSession, d: str) -> DataFrame:
-    """Up to five related nodes of every function."""
+    """Up to five related nodes of every function; ``context_expand_whole`` takes nodes of all kinds."""
     return graph.context_expand(edges(spark, d), nodes(spark, d).where("kind = 'Function'")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("context_expand_whole")
+def context_expand_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Up to five related nodes of every node."""
+    return graph.context_expand(edges(spark, d), nodes(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 IMPACT = f"""{G}, tg AS (SELECT id FROM nd WHERE label = 'unwrap_slot'), bk AS (SELECT target AS id, source AS caller FROM ed WHERE kind IN ('calls', 'references', 'implements')),
     i1 AS (SELECT DISTINCT t.id AS target, caller AS id FROM tg t JOIN bk ON bk.id = t.id WHERE caller <> t.id),
     i2 AS (SELECT DISTINCT target, caller AS id FROM i1 JOIN bk ON bk.id = i1.id WHERE caller <> target AND (target, caller) NOT IN (SELECT target, id FROM i1)),

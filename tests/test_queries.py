@@ -31,6 +31,17 @@ def test_against_sql(spark, name):
     assert got == sorted((tuple(canon(x[names.index(c)]) for c in cols) for x in r.fetchall()), key=repr)
 
 
+def test_context_of_all_kinds(spark):
+    con = duckdb.connect()
+    for t in ("nodes", "edges", "shared_nodes"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    all_kinds = entry.oracle_sql()["context_expand"].replace("WHERE kind = 'Function'", "")
+    want = set(con.execute(all_kinds).fetchall())
+    got = [tuple(r) for r in entry.queries()["context_expand_whole"](spark, DATA).select("hit", "related", "rank").collect()]
+    functions = {tuple(r) for r in entry.queries()["context_expand"](spark, DATA).select("hit", "related", "rank").collect()}
+    assert len(got) == len(want) and set(got) == want > functions
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
