@@ -422,8 +422,19 @@ def gitlog_sessionize(spark: SparkSession, d: str) -> DataFrame:
     SELECT b.event_type, b.s AS batch_start, count(*) AS n FROM b JOIN e ON e.event_type = b.event_type AND e.day = b.day AND e.ts >= b.s AND e.ts <= b.s + INTERVAL 300 SECOND GROUP BY ALL""",
 )
 def debounce_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of events within 5 minutes of their first, begun anew each day; ``debounce_batches_whole`` goes on over midnight."""
+    e = table(spark, d, "events").withColumn("day", F.date_trunc("day", "ts"))
+    return _batches(e, ("event_type", "day"))
+
+
+@query("debounce_batches_whole")
+def debounce_batches_whole(spark: SparkSession, d: str) -> DataFrame:
     """Batches of events within 5 minutes of their first."""
-    return watch.debounce(table(spark, d, "events"), "ts", "event_type", 300_000).groupBy("event_type", F.col("batch_start").cast("timestamp_ntz").alias("batch_start")).agg(F.count("*").alias("n"))
+    return _batches(table(spark, d, "events"), "event_type")
+
+
+def _batches(events: DataFrame, key: str | tuple[str, ...]) -> DataFrame:
+    return watch.debounce(events, "ts", key, 300_000).groupBy("event_type", F.col("batch_start").cast("timestamp_ntz").alias("batch_start")).agg(F.count("*").alias("n"))
 
 
 @query("stream_events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -2,40 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import updates
 
 
-def debounce(events: DataFrame, ts: str = "ts", key: str | None = None, delay_ms: int = 300) -> DataFrame:
+def debounce(events: DataFrame, ts: str = "ts", key: str | tuple[str, ...] | None = None, delay_ms: int = 300) -> DataFrame:
     """``events`` with ``batch_start``: the first event opens a batch that takes all within a fixed delay of it.
 
     This is a delay from the first event, not a gap between events, so batches
-    follow from one another. A stretch without a gap longer than the delay is
-    independent of any other; stretches are found by a window and each is walked
-    by one fold over its sorted times.
+    follow from one another, over midnight too. A stretch without a gap longer than
+    the delay is independent of any other; stretches are found by windows of a day,
+    joined at the days' ends, and each is walked by one fold over its sorted times.
     """
-    by = [key] if key else []
+    by = [key] if isinstance(key, str) else list(key or ())
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    day = F.floor(t / F.lit(86_400_000_000))
-    src = events.where(F.col(ts).isNotNull()).withColumn("_t", t).withColumn("_day", day)
-    w = Window.partitionBy(*by, "_day").orderBy("_t")
+    src = events.where(F.col(ts).isNotNull()).withColumn("_t", t).withColumn("_day", F.floor(t / F.lit(86_400_000_000)))
     step = delay_ms * 1000
-    # a batch that is open over midnight starts anew there, which bounds what one fold holds
-    opened = F.when((F.col("_t") - F.lag("_t").over(w) > step) | F.lag("_t").over(w).isNull(), 1).otherwise(0)
-    runs = src.withColumn("_run", F.sum(opened).over(w))
-    times = runs.groupBy(*by, "_day", "_run").agg(F.sort_array(F.collect_set("_t")).alias("ts_list"))
-    starts = F.aggregate(
-        "ts_list",
-        F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > step), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    begun = times.select(*by, "_day", "_run", F.explode(starts).alias("_start"))
-    j = runs.join(begun, [*by, "_day", "_run"]).where((F.col("_start") <= F.col("_t")) & (F.col("_t") - F.col("_start") <= step))
-    return j.withColumn("batch_start", F.timestamp_micros("_start")).drop("_t", "_day", "_run", "_start")
+    w, days = Window.partitionBy(*by, "_day").orderBy("_t"), Window.partitionBy(*by).orderBy("_day")
+    gaps = src.withColumn("_open", (F.col("_t") - F.lag("_t").over(w) > step).cast("int"))
+    # the first event of a day opens a stretch unless the last one of the day before it is near
+    ends = gaps.groupBy(*by, "_day").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.coalesce(F.sum("_open"), F.lit(0)).alias("_gaps"))
+    new = F.coalesce((F.col("_first") - F.lag("_last").over(days) > step).cast("int"), F.lit(1))
+    base = ends.withColumn("_new", new).withColumn("_base", F.sum(F.col("_gaps") + F.col("_new")).over(days) - F.col("_gaps")).select(*by, "_day", "_base")
+    runs = gaps.join(base, [*by, "_day"]).withColumn("_run", F.col("_base") + F.coalesce(F.sum("_open").over(w), F.lit(0)))
+    times = runs.groupBy(*by, "_run").agg(F.sort_array(F.collect_set("_t")).alias("_ts"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x = b.column("_ts")[i].values.to_numpy()
+                start, at = np.empty(len(x), np.int64), 0
+                while at < len(x):
+                    end = int(np.searchsorted(x, x[at] + step, "right"))
+                    start[at:end] = x[at]
+                    at = end
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(b.column(c)[i], len(x)) for c in (*by, "_run")), pa.array(x), pa.array(start)], [*by, "_run", "_t", "_start"])
+
+    kinds = dict(times.dtypes)
+    begun = times.mapInArrow(walk, ", ".join(f"`{c}` {kinds[c]}" for c in (*by, "_run")) + ", _t bigint, _start bigint")
+    j = runs.join(begun, [*by, "_run", "_t"])
+    return j.withColumn("batch_start", F.timestamp_micros("_start")).select(*events.columns, "batch_start")
 
 
 def file_events(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", per_trigger: int = 1000) -> DataFrame:

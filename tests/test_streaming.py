@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from tessera.streaming import watch
@@ -13,6 +14,20 @@ def test_debounce_is_a_fixed_delay(spark):
     assert sorted(map(sorted, starts.values())) == [[0, 1, 2], [3, 4], [5], [6]]
 
 
+def test_batches_go_on_over_midnight(spark):
+    rnd, t0 = random.Random(6), datetime(2024, 1, 1)
+    secs = {k: sorted(rnd.choice([rnd.randrange(4 * 86400), 86400 + rnd.randrange(-900, 900), 3 * 86400 + rnd.randrange(-900, 900)]) for _ in range(400)) for k in "ab"}
+    want = set()
+    for k, xs in secs.items():
+        start = None
+        for x in xs:
+            start = x if start is None or x - start > 300 else start
+            want.add((k, t0 + timedelta(seconds=x), t0 + timedelta(seconds=start)))
+    rows = [(k, t0 + timedelta(seconds=x)) for k, xs in secs.items() for x in xs]
+    got = watch.debounce(spark.createDataFrame(rows, "k string, ts timestamp"), "ts", "k", 300_000).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+
+
 def test_upsert_stream(spark, tmp_path):
     src = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, seq int, v string")
     src.write.parquet(str(tmp_path / "in"))
