@@ -3,134 +3,234 @@
 Items are known by their sizes alone. The program asks for the fewest containers,
 as a weighting of configurations (multisets of sizes that fit one container),
 such that each size is covered as often as it occurs. It is solved on the length
-histogram, whose size is the capacity and not the number of items: weights on
-sizes grow multiplicatively where coverage lags, and a knapsack by dynamic
-programming finds the configuration worth most under these weights. Weights are
-rounded down to whole containers; what is left over is packed best-fit from the
-longest. The plan then goes back to the items by their rank within their size.
+histogram, whose size is the capacity and not the number of items: prices of
+sizes grow multiplicatively where coverage lags and fall where it leads, and a
+knapsack by dynamic programming gives the configurations worth most at these
+prices. No size is covered beyond its need, so the weights are a feasible
+solution, and the prices bound the optimum from below. Weights are rounded to
+whole containers, the program is solved again for what is left over, and the last
+remainder is packed best-fit from the longest. The plan then goes back to
+the items by their rank within their size.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 CAPACITY = 2048
-#: Rounds of multiplicative weights, their step, and what stays of earlier rounds.
-ROUNDS, STEP, FADE = 60, 0.3, 0.85
+#: Rounds of multiplicative weights, and the share of a size's need that one round may cover.
+ROUNDS, SHARE = 60, 0.2
+#: Relative change of a price in a round: while prices are learnt, falling with the rounds; least, first and most while they are used.
+LEARN, STEPS = 0.1, (5e-5, 2e-4, 0.05)
+#: Spread of the draw among sizes of nearly equal worth, in units of room, and how many of them are kept for each room.
+SPREAD, CHOICES = 0.1, 12
+#: Containers of the program against those of best fit alone from which the latter is taken.
+GUARD = 1.0005
 #: Rows of one size that one task ranks.
 RANK_ROWS = 200_000
+_DONE = 1e-6
 
 
-def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each room up to ``capacity`` the worth of its best multiset of sizes, and a size to take first (0: leave one unused)."""
-    sizes = np.flatnonzero(value > 0)
-    sizes = sizes[(sizes > 0) & (sizes <= capacity)]
-    worth = value[sizes]
+@dataclass
+class Solution:
+    """Weights of configurations that cover the histogram, their sum, what the weights alone gave of it, and a bound for any solution."""
+
+    weights: list[tuple[dict[int, int], float]]
+    objective: float
+    by_weights: float
+    bound: float
+
+
+def knapsack(size: np.ndarray, price: np.ndarray, left: np.ndarray, capacity: int, rng: np.random.Generator, spread: float = SPREAD) -> tuple[np.ndarray, list[list[int]]]:
+    """For each room up to ``capacity`` the worth of its best multiset of sizes, and sizes to take first.
+
+    The sizes come in the order to try them: a draw in proportion to what is
+    ``left`` of each among those that cost next to nothing against the best. None:
+    leave one unit unused.
+    """
+    spread /= capacity
     best = np.zeros(capacity + 1)
-    pick = np.zeros(capacity + 1, np.int64)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    first: list[list[int]] = [[]] * (capacity + 1)
+    upto = np.searchsorted(size, np.arange(capacity + 1), "right")
+    much = left * size
+    bias = spread * np.log(np.maximum(much / much.max(), 1e-12))
+    noise = -np.log(-np.log(rng.random(4 * len(size) + 64))) * spread
+    shift = rng.integers(0, 3 * len(size) + 64, capacity + 1)
     for c in range(1, capacity + 1):
-        m = upto[c]
+        m = int(upto[c])
         best[c] = best[c - 1]
-        if m:
-            gain = best[c - sizes[:m]] + worth[:m]
-            k = int(gain.argmax())
-            if gain[k] > best[c] + 1e-15:
-                best[c], pick[c] = gain[k], sizes[k]
-    return best, pick
+        if not m:
+            continue
+        gain = best[c - size[:m]] + price[:m]
+        best[c] = max(best[c], gain.max())
+        score = np.where(gain >= best[c] - 4 * spread, gain + bias[:m] + noise[shift[c] : shift[c] + m], -np.inf)
+        top = np.argpartition(-score, CHOICES)[:CHOICES] if m > CHOICES else np.arange(m)
+        top = top[np.argsort(-score[top], kind="stable")]
+        first[c] = top[np.isfinite(score[top])].tolist()
+    return best, first
 
 
-def _fill(pick: np.ndarray, room: int, config: Counter) -> Counter:
-    """Complete ``config`` by the best multiset for ``room``."""
+def _configuration(first: list[list[int]], size: list[int], capacity: int, k: int, free: list[float]) -> dict[int, int] | None:
+    """A configuration that holds size number ``k``; None where only sizes without free need would fit."""
+    config, room = {k: 1}, capacity - size[k]
     while room > 0:
-        s = int(pick[room])
-        if s:
-            config[s] += 1
-        room -= s or 1
+        for j in first[room]:
+            if free[j] > 0:
+                config[j] = config.get(j, 0) + 1
+                room -= size[j]
+                break
+        else:
+            if first[room]:
+                return None
+            room -= 1
     return config
 
 
-def best_configuration(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of sizes of total at most ``capacity`` that is worth most."""
-    return dict(_fill(knapsack(value, capacity)[1], capacity, Counter()))
+def _cover(size: np.ndarray, need: np.ndarray, capacity: int, price: np.ndarray, rounds: int, total: dict | None) -> tuple[np.ndarray, float, np.ndarray]:
+    """Rounds of multiplicative weights: what is left of the need, the best bound and the prices that gave it.
 
+    A round prices once and takes, from the size that lags most, configurations
+    worth nearly as much as the best, as far as free need goes. ``total`` gathers
+    their weights; where it is None only prices are learnt, and each round begins
+    with the whole need.
+    """
+    rng = np.random.default_rng(5)
+    low, start, high = STEPS
+    left, change, was = need.copy(), np.full(len(size), start), np.zeros(len(size))
+    volume = float((need * size).sum())
+    slack, bound, best_price = 0.01, 0.0, price
+    for turn in range(rounds):
+        live = np.flatnonzero(left > _DONE * need)
+        at = size[live]
+        best, first = knapsack(at, price[live], left[live], capacity, rng)
+        if len(live) == len(size) and (price * need).sum() / best[capacity] > bound:
+            bound, best_price = float((price * need).sum() / best[capacity]), price
+        done = 1 - left[live] / need[live]
+        worth = price[live] + best[capacity - at] >= (1 - slack) * best[capacity]
+        order = np.argsort(done, kind="stable")
+        least = (_DONE * need[live]).tolist()
+        free = (np.minimum(left, SHARE * need)[live] - least).tolist()
+        rest, names, moved = left[live].tolist(), at.tolist(), 0.0
+        for i in order[worth[order]].tolist():
+            for _ in range(4):
+                config = _configuration(first, names, capacity, i, free) if free[i] > least[i] else None
+                if not config:
+                    break
+                w = min(free[j] / n for j, n in config.items())
+                for j, n in config.items():
+                    free[j] -= n * w
+                    rest[j] -= n * w
+                moved += w
+                if total is not None:
+                    key = tuple(sorted((names[j], n) for j, n in config.items()))
+                    total[key] = total.get(key, 0.0) + w
+        left[live] = rest
+        open_ = float((left * size).sum())
+        # what lags behind in coverage gets dearer, what leads cheaper; a change that keeps its sign grows
+        lag = np.clip((left / need - open_ / volume) / SHARE, -1, 1)
+        if total is None:
+            price = price * np.exp(LEARN / np.sqrt(1 + turn / 10) * lag)
+            left = need.copy()
+            continue
+        change = np.clip(np.where(lag * was > 0, change * 1.3, change * 0.6), low, high)
+        price, was = price * np.exp(change * lag), lag
+        if open_ <= 2e-3 * volume:
+            break
+        if moved < 0.01 * open_ / capacity:
+            slack = min(0.5, slack * 1.3)
+    return left, bound, best_price
 
-def fractional(hist: dict[int, int], capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[dict[int, int], float]]:
-    """Configurations and their weights that cover ``hist``, about fewest in sum.
 
-    A round prices once and takes, of each size, the best configuration that holds
-    it, if that comes within ``step`` of the best of all.
+def _solve(size: np.ndarray, need: np.ndarray, capacity: int, price: np.ndarray, rounds: int) -> Solution:
+    total: dict[tuple, float] = {}
+    left, bound, _ = _cover(size, need, capacity, price, rounds, total)
+    by_weights = sum(total.values())
+    rng = np.random.default_rng(6)
+    # the last that the weights leave open: the knapsack's configurations from the largest size down
+    while (left > 1e-9 * need).any():
+        live = np.flatnonzero(left > 1e-9 * need)
+        names, rest = size[live].tolist(), left[live].tolist()
+        _, first = knapsack(size[live], price[live], left[live], capacity, rng, 1e-3)
+        for i in range(len(live) - 1, -1, -1):
+            config = _configuration(first, names, capacity, i, rest) if rest[i] > 1e-9 * need[live[i]] else None
+            if config:
+                w = min(rest[j] / n for j, n in config.items())
+                for j, n in config.items():
+                    rest[j] -= n * w
+                key = tuple(sorted((names[j], n) for j, n in config.items()))
+                total[key] = total.get(key, 0.0) + w
+        left[live] = np.maximum(0, rest)
+    return Solution([(dict(k), w) for k, w in total.items()], sum(total.values()), by_weights, bound)
+
+
+def fractional(hist: dict[int, int], capacity: int, rounds: int = ROUNDS, learn: bool = True) -> Solution:
+    """Configurations with weights that cover each size of ``hist`` exactly as often as it occurs, about fewest in sum.
+
+    Prices in proportion to sizes are right where containers can be filled whole;
+    where the solution stays away from its bound, prices are learnt by rounds of
+    their own and the better of two solutions counts.
     """
     size = np.array(sorted(hist))
     need = np.array([hist[s] for s in size], float)
-    index = {int(s): i for i, s in enumerate(size)}
-    covered = np.zeros(len(size))
-    total: dict[tuple, float] = {}
-    price = size / capacity
-    for r in range(rounds):
-        value = np.zeros(capacity + 1)
-        value[size] = price
-        best, pick = knapsack(value, capacity)
-        # rounds at immature prices fade
-        covered *= FADE
-        total = {c: w * FADE for c, w in total.items() if w * FADE > 1e-4}
-        for i in np.flatnonzero(price + best[capacity - size] >= (1 - step) * best[capacity]):
-            config = _fill(pick, capacity - int(size[i]), Counter({int(size[i]): 1}))
-            at = np.array([index[s] for s in config])
-            much = np.array([config[s] for s in config], float)
-            width = (need[at] / much).min()
-            covered[at] += much * width
-            key = tuple(sorted(config.items()))
-            total[key] = total.get(key, 0.0) + width
-        # multiplicative weights: what lags behind in coverage gets worth more, what leads less
-        lag = covered / need
-        lag = lag / max(1e-9, lag.mean())
-        price = price * np.exp(step * np.clip(1 - lag, -1, 1) / np.sqrt(1 + r / 8))
-        price = np.maximum(price, price.max() * 1e-6)
-    # the fewest containers that cover nine tenths of the sizes; the rest is rounded anyway
-    scale = max(1e-9, float(np.quantile(covered / need, 0.1)))
-    return [(dict(k), w / scale) for k, w in total.items()]
-
-
-def plan(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """``[(configuration, copies)]`` that packs exactly ``hist`` (sizes from 1 to ``capacity``)."""
+    plain = size / capacity
+    got = _solve(size, need, capacity, plain, rounds)
+    if learn and got.objective > 1.01 * got.bound:
+        _, bound, learnt = _cover(size, need, capacity, plain, 3 * rounds, None)
+        again = _solve(size, need, capacity, learnt, rounds)
+        bound = max(bound, got.bound, again.bound)
+        got = min(got, again, key=lambda x: x.objective)
+        got.bound = bound
+    return got
+
+
+def plan(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, most_solved: int = 4) -> list[tuple[dict[int, int], int]]:
+    """``[(configuration, copies)]`` that packs exactly ``hist`` (sizes from 1 to ``capacity``).
+
+    The program is solved, rounded, and solved again for what rounding leaves, up
+    to ``most_solved`` times, until a twentieth is left; that is packed best-fit.
+    Best fit of everything is a guard: it counts where it needs clearly (GUARD)
+    fewer containers, as it may for few sizes of which most exceed half a container.
+    """
     start = Counter({s: n for s, n in hist.items() if n > 0 and s > 0})
     if any(s > capacity for s in start):
         raise ValueError("sizes must not exceed the capacity")
     full = start.pop(capacity, 0)
     whole = [({capacity: 1}, full)] if full else []
-    if not start:
-        return whole
-    unused = lambda config: capacity - sum(s * n for s, n in config.items())
-    weights = sorted(fractional(dict(start), capacity, rounds), key=lambda x: (unused(x[0]), -x[1]))
-    made = []
-    # how much of the program is kept before the rest is filled greedily: the best of three roundings counts
-    for loss in (0, capacity, -1):
-        left, out = Counter(start), []
-
-        def take(config: dict[int, int], copies: int) -> None:
-            copies = min([copies, *(left[s] // n for s, n in config.items())])  # noqa: B023
-            if copies > 0:
-                out.append((config, copies))  # noqa: B023
-                for s, n in config.items():
-                    left[s] -= n * copies  # noqa: B023
-
-        for config, w in weights:
-            if unused(config) <= loss:
-                take(config, int(w))
-        for config, _ in weights:
-            if loss >= 0 and unused(config) * 400 <= capacity:
-                take(config, 1)
-        made.append(out + _best_fit(left, capacity))
-    return whole + min(made, key=lambda p: sum(c for _, c in p))
+    left, out = +start, []
+    room = lambda sizes: sum(s * n for s, n in sizes.items()) / capacity
+    waste = lambda config: capacity - sum(s * n for s, n in config.items())
+    for turn in range(most_solved):
+        left = +left
+        if not left or room(left) <= 0.05 * room(start):
+            break
+        made = sorted(fractional(dict(left), capacity, rounds, learn=turn == 0).weights, key=lambda x: -x[1])
+        placed = 0
+        # whole copies first; then one more of each that wastes next to nothing, while its sizes last
+        for down in (True, False):
+            for config, w in made if down else sorted(made, key=lambda x: (waste(x[0]), int(x[1]) - x[1])):
+                if not down and waste(config) * 100 > capacity:
+                    break
+                copies = min([int(w + 1e-6) if down else 1, *(left[s] // n for s, n in config.items())])
+                if copies:
+                    out.append((config, copies))
+                    placed += copies
+                    for s, n in config.items():
+                        left[s] -= n * copies
+        if placed < 0.1 * room(left):
+            break
+    out += _best_fit(+left, capacity)
+    greedy = _best_fit(start, capacity)
+    boxes = lambda p: sum(c for _, c in p)
+    return whole + (greedy if boxes(out) > GUARD * boxes(greedy) else out)
 
 
 def _best_fit(left: Counter, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -198,8 +298,6 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
         offset[s, k] = c
     offset = np.cumsum(offset, axis=1) - offset
     shift = spark.sparkContext.broadcast(offset)
-    from pyspark.sql import Window
-
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("size", "salt").orderBy("id", "piece")) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +316,42 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     return placed.unionByName(none).toDF(id_col, "piece", "start", "size", "container")
 
 
+def program_report(items: DataFrame, size_col: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
+    """``(objective, bound, gap, by_weights, configurations)`` of the program over the sizes of ``items``, without full containers.
+
+    ``bound`` holds for any solution, ``by_weights`` is the share of the objective
+    that the weights gave before the last remainder. No sizes give one row of zeros.
+    """
+    n = F.coalesce(F.col(size_col).cast("bigint"), F.lit(0))
+    rest = items.select((n % capacity).cast("int").alias("s")).where("s > 0").groupBy("s").agg(F.count("*").alias("c"))
+    hist = {r["s"]: r["c"] for r in rest.collect()}
+    x = fractional(hist, capacity) if hist else Solution([], 0.0, 0.0, 0.0)
+    row = (x.objective, x.bound, x.objective / x.bound - 1 if x.bound else 0.0, x.by_weights / x.objective if x.objective else 0.0, len(x.weights))
+    return items.sparkSession.createDataFrame([tuple(map(float, row[:4])) + (row[4],)], "objective double, bound double, gap double, by_weights double, configurations int")
+
+
+def misfits(packed: DataFrame, items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
+    """One row of what must hold of a packing of items of unique ids: items placed, items with a size, and counts of what is wrong.
+
+    ``overfull`` containers, ``cut`` items that fit one container, ``lost`` items
+    whose pieces do not make up their size, ``gaps`` in the container numbers,
+    ``filled``: the containers are at least 98 % full or at most one beyond the
+    least number.
+    """
+    parts = packed.groupBy(id_col).agg(F.sum("size").alias("s"), F.count("*").alias("pieces"))
+    both = items.select(id_col, F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)), F.lit(0)).alias("n")).join(parts, id_col, "full")
+    own = both.agg(
+        F.count("s").alias("items"),
+        F.count_if("s > 0").alias("sized"),
+        F.count_if((F.col("n") <= capacity) & (F.col("pieces") > 1)).alias("cut"),
+        F.count_if(~F.col("n").eqNullSafe(F.col("s"))).alias("lost"),
+    )
+    box = packed.where("size > 0").groupBy("container").agg(F.sum("size").alias("s"))
+    full = box.agg(F.count_if(F.col("s") > capacity).alias("overfull"), F.coalesce(F.max("container") + 1 - F.count("*"), F.lit(0)).alias("gaps"), F.count("*").alias("boxes"), F.coalesce(F.sum("s"), F.lit(0)).alias("tokens"))
+    filled = (F.col("tokens") >= 0.98 * capacity * F.col("boxes")) | (F.col("boxes") <= F.ceil(F.col("tokens") / capacity) + 1)
+    return own.crossJoin(F.broadcast(full)).select("items", "sized", "overfull", "cut", "lost", "gaps", filled.alias("filled"))
+
+
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``(containers, pieces, tokens, least, fill)`` of a packing; ``least`` is the bound tokens / capacity."""
     box = packed.where("size > 0").groupBy("container").agg(F.sum("size").alias("s"), F.count("*").alias("c"))

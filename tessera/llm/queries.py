@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import materialize, table
 from . import encode, handwritten, imi, neardup, pack, spans, split
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,19 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.fill_report(pack.pack(encode.token_counts(table(spark, sf_dir, "documents"))))
 
 
+@_query
+def p7_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objective of the configuration program and the bound below it."""
+    return pack.program_report(encode.token_counts(table(spark, sf_dir, "documents")))
+
+
+@_query
+def p7_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing, counted over all containers and documents."""
+    counts = materialize(encode.token_counts(table(spark, sf_dir, "documents")), "counts")
+    return pack.misfits(pack.pack(counts), counts).withColumnRenamed("items", "documents")
+
+
 def queries() -> dict[str, Query]:
     return dict(_ALL)
 
@@ -136,6 +149,7 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY id
         """,
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p7_fits": "SELECT count(*) AS documents, count(*) FILTER (length(text) > 0) AS sized, 0::BIGINT AS overfull, 0::BIGINT AS cut, 0::BIGINT AS lost, 0::BIGINT AS gaps, true AS filled FROM documents",
         "p8_found": f"WITH {_WINDOWS}, x AS (SELECT DISTINCT doc_id, h FROM w) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id",
         "p8_spans": f"""WITH {_WINDOWS}, m AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), s AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM w WHERE h IN (SELECT h FROM m)),
             g AS (SELECT doc_id, i, sum(CASE WHEN gap IS NULL OR gap > 150 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s)

@@ -103,6 +103,34 @@ def test_plan_where_greedy_wastes():
     assert sum(c for _, c in P.plan(hist, 100)) <= 0.97 * sum(c for _, c in P._best_fit(Counter(hist), 100))
 
 
+@pytest.mark.parametrize("hist, capacity, optimum", [({51: 600, 27: 600, 26: 600, 23: 1200}, 100, 900), ({60: 100, 50: 333}, 100, 266.5), ({40: 1000}, 100, 500), ({7: 3}, 7, 3)])
+def test_program_is_covered_and_near_its_optimum(hist, capacity, optimum):
+    x = P.fractional(hist, capacity)
+    covered = Counter()
+    for config, w in x.weights:
+        assert w > 0 and sum(s * n for s, n in config.items()) <= capacity
+        for s, n in config.items():
+            covered[s] += n * w
+    assert all(abs(covered[s] - n) <= 1e-6 * n for s, n in hist.items()) and set(covered) == set(hist)
+    assert x.bound - 1e-6 <= optimum <= x.objective + 1e-6 and x.objective <= 1.01 * optimum
+    assert x.by_weights >= 0.9 * x.objective
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_program_over_many_sizes_is_near_its_bound(seed):
+    rnd = random.Random(seed)
+    hist = {s: rnd.randint(1, 40) for s in rnd.sample(range(1, 2048), 900)}
+    x = P.fractional(hist, 2048)
+    assert x.objective <= 1.02 * x.bound and x.by_weights >= 0.5 * x.objective
+    assert sum(c for _, c in P.plan(hist, 2048)) <= 1.001 * x.bound + 2
+
+
+def test_the_program_beats_best_fit():
+    hist = {51: 600, 27: 600, 26: 600, 23: 1200}
+    assert sum(c for _, c in P._best_fit(Counter(hist), 100)) >= 1.05 * 900
+    assert sum(c for _, c in P.plan(hist, 100)) <= 902
+
+
 def test_pack_table(spark, monkeypatch):
     monkeypatch.setattr(P, "RANK_ROWS", 10)
     rnd = random.Random(6)
@@ -123,3 +151,8 @@ def test_pack_table(spark, monkeypatch):
     rep = P.fill_report(P.pack(df)).first()
     assert rep["containers"] <= rep["least"] + 2
     assert P.pack(df.limit(0)).collect() == []
+    own = df.where("doc_id is not null")
+    row = P.misfits(P.pack(own), own).first()
+    assert tuple(row) == (303, 300, 0, 0, 0, 0, True)
+    assert tuple(P.misfits(P.pack(own.limit(0)), own.limit(0)).first()) == (0, 0, 0, 0, 0, 0, True)
+    assert P.program_report(own.limit(0)).first()["configurations"] == 0
