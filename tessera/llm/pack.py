@@ -98,7 +98,7 @@ def _configuration(first: list[list[int]], size: list[int], capacity: int, k: in
 def _cover(size: np.ndarray, need: np.ndarray, capacity: int, price: np.ndarray, rounds: int, total: dict | None) -> tuple[np.ndarray, float, np.ndarray]:
     """Rounds of multiplicative weights: what is left of the need, the best bound and the prices that gave it.
 
-    A round prices once and takes, from the size that lags most, configurations
+    A round prices once and takes, from the largest of the sizes that lag most, configurations
     worth nearly as much as the best, as far as free need goes. ``total`` gathers
     their weights; where it is None only prices are learnt, and each round begins
     with the whole need.
@@ -116,7 +116,7 @@ def _cover(size: np.ndarray, need: np.ndarray, capacity: int, price: np.ndarray,
             bound, best_price = float((price * need).sum() / best[capacity]), price
         done = 1 - left[live] / need[live]
         worth = price[live] + best[capacity - at] >= (1 - slack) * best[capacity]
-        order = np.argsort(done, kind="stable")
+        order = np.lexsort((-at, np.floor(done / (SHARE / 4))))
         least = (_DONE * need[live]).tolist()
         free = (np.minimum(left, SHARE * need)[live] - least).tolist()
         rest, names, moved = left[live].tolist(), at.tolist(), 0.0
