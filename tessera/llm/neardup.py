@@ -29,13 +29,18 @@ from . import kernels as K
 
 SHINGLE, MIN_WORDS, THRESHOLD = 3, 30, 0.7
 #: Cells of the frequency sketch for each text, and the least and most of them (powers of two).
-CELLS_A_TEXT, LEAST_CELLS, MOST_CELLS = 32, 1 << 20, 1 << 25
-#: Cells in a block of the sketch, the count from which a cell is frequent beside the mean, groups
-#: of frequent shingles, and the set size up to which plain prefixes are indexed besides, as too
-#: small for the extension.
-BLOCK, FREQUENT, GROUPS, TINY = 1 << 16, 64, 8, 18
+CELLS_A_TEXT, LEAST_CELLS, MOST_CELLS = 32, 1 << 20, 1 << 26
+#: Cells in a block of the sketch, the count from which a cell is frequent beside twice the mean (a key
+#: of f sets costs f * (f - 1) / 2 candidates, so a single one is dearer than its sets from 3 on), and
+#: groups of frequent shingles.
+BLOCK, FREQUENT, GROUPS = 1 << 16, 3, 8
+#: Set size up to which plain prefixes are indexed besides: with all shingles frequent, n - GROUPS pairs
+#: must outnumber the 0.3 n losses, which fails up to 11, and the partner of such a set has up to 16.
+TINY = 18
 #: Bits of the filter for the texts of candidates (a power of two).
 WANTED = 1 << 23
+#: Codes a doubling of a count; small counts have codes of their own.
+_CODES = 7
 
 
 def _sets(batch: pa.RecordBatch, column: str, k: int, min_words: int):
@@ -64,13 +69,22 @@ def _first(fp: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarray:
     return new
 
 
+def level_codes(mean: float) -> np.ndarray:
+    """Level of each code of a count, where cells hold ``mean`` on average."""
+    count = np.round(2 ** (np.arange(256) / _CODES) - 1)
+    level = np.minimum(7, np.log2(1 + count / (1 + mean)) * 1.5).astype(np.uint8)
+    hot = count >= FREQUENT + 2 * mean
+    level[hot] = 8 + np.minimum(200, np.log2(np.maximum(1, count[hot])) * 4).astype(np.uint8)
+    return level
+
+
 def scan_sets(texts: DataFrame, k: int, min_words: int) -> tuple[DataFrame, bytes]:
     """One pass over ``texts(id, content)``: the ids with the fingerprints of their sets, and the sketch.
 
     The sketch gives the level of every cell: 0-7 rare by counts, 8 and above
     frequent. Counts run over all texts; blocks of the sketch are added up by key
-    in the cluster. What reaches the driver is one count for each cell, of which
-    there are at most MOST_CELLS. Of equal sets a task counts one.
+    in the cluster. What reaches the driver is one byte for each cell, a code for
+    its count, of at most MOST_CELLS cells (64 MB). Of equal sets a task counts one.
     """
     cells = LEAST_CELLS
     wanted = CELLS_A_TEXT * texts.select("id").count()
@@ -107,23 +121,26 @@ def scan_sets(texts: DataFrame, k: int, min_words: int) -> tuple[DataFrame, byte
         for b in batches:
             for x in b.column(1):
                 total += np.frombuffer(x.as_buffer(), np.uint16)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.uint32).tobytes()], pa.binary())], ["block", "counts"])
+        code = np.minimum(255, np.round(np.log2(1 + total) * _CODES)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([code.tobytes()], pa.binary()), pa.array([int(total.sum())])], ["block", "codes", "total"])
 
     typ = dict(texts.dtypes)["id"]
     out = materialize(texts.mapInArrow(scan, f"block int, counts binary, id {typ}, class_id bigint, n int"), "sets")
-    rows = out.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    total = np.zeros(cells, np.int64)
+    rows = out.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, codes binary, total bigint").collect()
+    codes = np.zeros(cells, np.uint8)
     for r in rows:
-        total[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.uint32)
-    mean = total.sum() / cells
-    level = np.minimum(7, np.log2(1 + total / (1 + mean)) * 1.5).astype(np.uint8)
-    hot = total >= FREQUENT + 2 * mean
-    level[hot] = 8 + np.minimum(200, np.log2(np.maximum(1, total[hot])) * 4).astype(np.uint8)
+        codes[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["codes"], np.uint8)
+    level = level_codes(sum(r["total"] for r in rows) / cells)[codes]
     return out.where("block is null").select("id", "class_id", "n").dropDuplicates(["id", "class_id"]), level.tobytes()
 
 
 def prefix_keys(s: np.ndarray, row: np.ndarray, n_rows: int, level: np.ndarray, t: float):
-    """Index keys of sets given as (shingle, row) sorted by row: key, row."""
+    """Index keys of sets given as (shingle, row) sorted by row: key, row, set sizes."""
+    return _keys(s, row, n_rows, level, t)[:3]
+
+
+def _keys(s: np.ndarray, row: np.ndarray, n_rows: int, level: np.ndarray, t: float):
+    """The same, and how many of the keys, the last ones, are combinations."""
     lv = level[(s & K.U(len(level) - 1)).astype(np.int64)]
     o = np.lexsort((s, lv, row))
     s, row, lv = s[o], row[o], lv[o]
@@ -138,6 +155,7 @@ def prefix_keys(s: np.ndarray, row: np.ndarray, n_rows: int, level: np.ndarray,
     keys.append(K.mix(s[tiny] ^ K.U(0xA5A5A5A5A5A5A5A5)))
     rows.append(row[tiny])
     f = np.flatnonzero(hot & (rare < need)[row])
+    combined = 0
     if len(f):
         fs, fr = s[f], row[f]
         group = (K.mix(fs) >> K.U(40)).astype(np.int64) % GROUPS
@@ -164,7 +182,8 @@ def prefix_keys(s: np.ndarray, row: np.ndarray, n_rows: int, level: np.ndarray,
         a, b = fs[kept[left]], fs[kept[right]]
         keys.append(K.mix(np.minimum(a, b) * K.U(3) + K.mix(np.maximum(a, b))))
         rows.append(fr[kept[left]])
-    return np.concatenate(keys), np.concatenate(rows), n
+        combined = len(left)
+    return np.concatenate(keys), np.concatenate(rows), n, combined
 
 
 def class_links(
@@ -229,6 +248,31 @@ def class_links(
     return both.mapInArrow(verify, "class_a bigint, class_b bigint, similarity double"), members
 
 
+def key_report(texts: DataFrame, id_col: str = "id", column: str = "content", shingle: int = SHINGLE, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """One row: ``sets`` that are indexed, their ``keys``, those that are ``combinations``, and ``resting`` sets that have such keys.
+
+    Of equal sets each task counts one. Without texts all are null.
+    """
+    src = texts.select(F.col(id_col).alias("id"), F.col(column).alias("content")).where("id is not null and content is not null")
+    level = texts.sparkSession.sparkContext.broadcast(scan_sets(src, shingle, min_words)[1])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lv = np.frombuffer(level.value, np.uint8)
+        seen: set[int] = set()
+        for b in K.slices(batches, "content"):
+            s, row = _sets(b, "content", shingle, min_words)
+            start, n = K.starts_of(row, b.num_rows)
+            fresh = _first(_fingerprint(s, start, n), n, seen)
+            if not fresh.any():
+                continue
+            key, r, _, combined = _keys(s[fresh[row]], row[fresh[row]], b.num_rows, lv, threshold)
+            got = (int(fresh.sum()), len(key), combined, len(np.unique(r[len(r) - combined :])))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in got], ["sets", "keys", "combinations", "resting"])
+
+    rows = src.select("content").mapInArrow(count, "sets bigint, keys bigint, combinations bigint, resting bigint")
+    return rows.agg(*(F.sum(c).alias(c) for c in ("sets", "keys", "combinations", "resting")))
+
+
 def _text_of_class(contents: DataFrame, pairs: DataFrame, shingle: int, min_words: int) -> DataFrame:
     """``(class_id, content)``: one content of each class in ``pairs``.
 

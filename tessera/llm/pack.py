@@ -342,7 +342,7 @@ def misfits(packed: DataFrame, items: DataFrame, id_col: str = "doc_id", size_co
     both = items.select(id_col, F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)), F.lit(0)).alias("n")).join(parts, id_col, "full")
     own = both.agg(
         F.count("s").alias("items"),
-        F.count_if("s > 0").alias("sized"),
+        F.count_if(F.col("s") > 0).alias("sized"),
         F.count_if((F.col("n") <= capacity) & (F.col("pieces") > 1)).alias("cut"),
         F.count_if(~F.col("n").eqNullSafe(F.col("s"))).alias("lost"),
     )

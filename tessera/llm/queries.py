@@ -30,6 +30,12 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_summary(table(spark, sf_dir, "chunks"))
 
 
+@_query
+def p1_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many keys of the near-duplicate index are combinations of shingles."""
+    return neardup.key_report(table(spark, sf_dir, "chunks"))
+
+
 @_query
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that share a long passage."""

@@ -111,3 +111,23 @@ def test_words_keep_within_rows():
     h, row = K.words(np.frombuffer(data, np.uint8), off)
     assert row.tolist() == [0, 1, 1]
     assert K.words(np.frombuffer(b"c9", np.uint8), np.array([0, 2]))[0][0] == h[1]
+
+
+def test_levels_of_counts():
+    for mean in (0.5, 3.7, 5000.0, 1e7):
+        level = N.level_codes(mean)
+        assert (np.diff(level.astype(int)) >= 0).all()
+        count = np.array([0, 1, 2, 3, 6, 7, 100, 70_000, 5 * 10**9], np.int64)
+        code = np.minimum(255, np.round(np.log2(1 + count) * N._CODES)).astype(int)
+        hot = level[code] >= 8
+        assert hot[-1] or mean > 1e9
+        assert not hot[0] and (np.abs(np.log2((count[hot] + 1) / (N.FREQUENT + 2 * mean))) >= -0.2).all()
+    assert [int(x) for x in N.level_codes(0.0)[np.round(np.log2(1 + np.array([0, 1, 2, 3, 4])) * N._CODES).astype(int)] >= 8] == [0, 0, 0, 1, 1]
+
+
+def test_key_report(spark):
+    rows = texts(2, 90, vocabulary=12)
+    df = spark.createDataFrame([(i, c, 7, "x", "y") for i, c in rows], SCHEMA)
+    got = N.key_report(df).first()
+    assert 0 < got["combinations"] < got["keys"] and 0 < got["resting"] <= got["sets"] <= 4 * len(rows)
+    assert N.key_report(df.limit(0)).first()["keys"] is None
