@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import materialize
+from . import passes
 
 K1, B = 1.2, 0.75
+#: Distinct terms of queries up to which they are a filter of the scan.
+MOST_TERMS = 2000
+#: Queries up to which they are split on the driver.
+MOST_QUERIES = 4096
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -17,21 +22,22 @@ def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """``(id, term, tf)`` with words in lower case and the parts of identifiers.
+    """``(id, term, tf)`` with words in lower case and the parts of identifiers, of texts with unique ids.
 
     A word counts each time it stands in the text. A part counts once, and only
-    if it comes before any such word. Placing the texts by id first keeps all
-    further grouping within tasks.
+    if it comes before any such word. Null and wordless texts give no rows.
     """
-    src = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).repartition(id_col)
-    one = lambda t, full: F.struct(t.alias("term"), F.lit(full).alias("is_full"))
-    each = F.concat(F.array(one(F.lower("word"), 1)), F.transform(T.identifier_parts(F.col("word")), lambda p: one(p, 0)))
-    t = tokens(src, id_col, text_col).select("id", "pos", F.explode(each).alias("t")).select("id", "pos", "t.term", "t.is_full")
-    g = t.groupBy("id", "term").agg(
-        F.sum("is_full").alias("n"), F.min(F.when(F.col("is_full") == 1, F.col("pos"))).alias("f"), F.min(F.when(F.col("is_full") == 0, F.col("pos"))).alias("s")
-    )
-    tf = F.col("n") + F.when(F.col("s").isNotNull() & (F.col("f").isNull() | (F.col("s") < F.col("f"))), 1).otherwise(0)
-    return g.select("id", "term", tf.cast("bigint").alias("tf")).where("tf > 0")
+    return passes.term_rows(docs, id_col, text_col).select("id", "term", "tf")
+
+
+def postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """``(term, id, tf, doc_len)`` in the order of terms, for storing: a search reads the row groups of its own terms."""
+    return passes.term_rows(docs, id_col, text_col).select("term", "id", "tf", "doc_len")
+
+
+def clustered(post: DataFrame) -> DataFrame:
+    """Postings by ranges of terms, sorted within; a frequent term is split over several files by id."""
+    return post.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
 
 
 def doc_lengths(tf: DataFrame) -> DataFrame:
@@ -53,21 +59,54 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
     return term_frequencies(queries, id_col, text_col).toDF("query_id", "term", "qtf")
 
 
-def search(tf: DataFrame, queries: DataFrame, limit: int | None = 10, k1: float = K1, b: float = B, rank_ties: str = "id") -> DataFrame:
+def few_terms(queries: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """The terms of the queries, and the distinct ones as a list; None for it where there are more than MOST_TERMS.
+
+    A stated set of up to MOST_QUERIES queries is split on the driver.
+    """
+    rows = queries.where("query is not null").select("query_id", T.words(F.col("query")).alias("words")).limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        return query_terms(queries), None
+    parts = passes.Kept(passes.parts_of)
+    terms = [(r["query_id"], t, n) for r in rows for t, n in passes.term_counts(r["words"], parts).items()]
+    few = sorted({t for _, t, _ in terms})
+    return queries.sparkSession.createDataFrame(terms, f"query_id {dict(queries.dtypes)['query_id']}, term string, qtf bigint"), few if len(few) <= MOST_TERMS else None
+
+
+def search_texts(docs: DataFrame, queries: DataFrame, limit: int | None = 10, id_col: str = "id", text_col: str = "content", **how) -> DataFrame:
+    """``search`` over texts that have no stored postings.
+
+    One pass counts the terms of each text and lets out the postings of the
+    queries' terms and the lengths; nothing else is written. For more than
+    MOST_TERMS distinct terms of queries all postings are made and joined.
+    """
+    asked = few_terms(queries)
+    if asked[1] is None:
+        return search(materialize(postings(docs, id_col, text_col), "postings"), queries, limit, asked=asked, **how)
+    got = materialize(passes.term_rows(docs, id_col, text_col, asked[1]), "postings")
+    stats = got.where("term is null").agg(F.sum("tf").alias("n_docs"), (F.sum("doc_len") / F.sum("tf")).alias("avg_len"))
+    return search(got.where("term is not null"), queries, limit, stats=stats, asked=asked, **how)
+
+
+def search(tf: DataFrame, queries: DataFrame, limit: int | None = 10, k1: float = K1, b: float = B, rank_ties: str = "id", stats: DataFrame | None = None, asked: tuple | None = None) -> DataFrame:
     """``(query_id, id, score, rank)`` of the best documents of each query.
 
-    Ties go to the smaller id. Only postings of query terms are scored; document
-    lengths and statistics cover the whole corpus. The postings are written once
-    and read for each of these.
+    ``tf(id, term, tf[, doc_len])`` are postings, with ``stats`` one row ``(n_docs,
+    avg_len)`` of the corpus where it is known. Ties go to the smaller id. Only
+    postings of query terms are read where these are few: the terms are a filter
+    of the scan, which skips row groups of stored postings. Document lengths and
+    statistics cover the whole corpus.
     """
-    tf = materialize(tf, "postings")
-    q = query_terms(queries)
-    wanted = q.select("term").distinct()
-    hits = tf.join(wanted, "term", "left_semi")
+    q, few = asked or few_terms(queries)
+    if "doc_len" not in tf.columns:
+        tf = materialize(tf, "postings")
+        tf = tf.join(doc_lengths(tf), "id")
+    # a bounded list of terms; beyond it a join
+    hits = tf.where(F.col("term").isin(few)) if few is not None else tf.join(q.select("term").distinct(), "term", "left_semi")
+    row = (stats if stats is not None else corpus_stats(tf)).first()
+    n_docs, avg_len = F.lit(row["n_docs"] or 0), F.lit(max(1.0, float(row["avg_len"] or 0)))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(tf).first()
-    n_docs, avg_len = F.lit(stats["n_docs"]), F.lit(max(1.0, float(stats["avg_len"] or 0)))
-    post = hits.join(doc_lengths(tf), "id").join(df, "term").join(q, "term")
+    post = hits.join(df.join(q, "term"), "term")
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     length = 1 - b + b * F.col("doc_len") / avg_len
     one = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..session import materialize
-from . import bm25
+from . import bm25, passes
 
 DIM, RRF_K = 256, 60
+#: Queries that one pass takes along as a matrix (8 MB); more are met in blocks.
+MOST_QUERIES = 4096
 #: Extensions of code; fixed values.
 CODE_EXTENSIONS = ("rs", "py", "js", "ts", "jsx", "tsx", "go", "c", "cpp", "h", "hpp")
 
@@ -31,20 +33,14 @@ def feature_counts(docs: DataFrame, id_col: str = "id", text_col: str = "content
 
 
 def hash_buckets(docs: DataFrame, id_col: str = "id", text_col: str = "content", dim: int = DIM) -> DataFrame:
-    """``(id, bucket, value)``: the non-zero places of each text's vector of length 1."""
-    coded = feature_counts(docs, id_col, text_col).select("id", V.feature_code(F.col("feature")).alias("code"), (1 + F.log("count")).alias("w"))
-    signed = F.when(F.pmod("code", F.lit(2)) == 0, F.col("w")).otherwise(-F.col("w"))
-    sums = coded.groupBy("id", F.pmod(F.shiftright("code", 1), F.lit(dim)).alias("bucket")).agg(F.sum(signed).alias("value"))
-    length = sums.withColumn("n", F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("id"))))
-    return length.where("n > 1e-12").select("id", "bucket", (F.col("value") / F.col("n")).alias("value"))
+    """``(id, bucket, value)``: the places of each text's vector of length 1 that a feature fell on; ids are unique."""
+    v = passes.vector_rows(docs, id_col, text_col, dim).select("id", F.posexplode(F.arrays_zip("vector", "hit")).alias("bucket", "x"))
+    return v.where("x.hit").select("id", F.col("bucket").cast("bigint").alias("bucket"), F.col("x.vector").alias("value"))
 
 
 def hash_embed(docs: DataFrame, id_col: str = "id", text_col: str = "content", dim: int = DIM) -> DataFrame:
-    """``(id, vector array<double>)``; texts without words have a zero vector, null texts too."""
-    cells = hash_buckets(docs, id_col, text_col, dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("int"), "value"))).alias("m"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return docs.select(F.col(id_col).alias("id")).distinct().join(cells, "id", "left").select("id", F.coalesce(at, zero).alias("vector"))
+    """``(id, vector array<double>)`` of unique ids; texts without words have a zero vector, null texts too."""
+    return passes.vector_rows(docs, id_col, text_col, dim).select("id", "vector")
 
 
 def feature_space(path: Column, kind: Column | None = None, override: Column | None = None) -> Column:
@@ -77,7 +73,7 @@ def exact_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str =
         if not ask.any() or ask.all():
             return
         a, b = t.take(pa.array(np.flatnonzero(ask))), t.take(pa.array(np.flatnonzero(~ask))).sort_by("id")
-        x, y = (np.array(s.column("vector").to_pylist(), dtype=np.float64) for s in (a, b))
+        x, y = passes.matrix_of(a.column("vector")), passes.matrix_of(b.column("vector"))
         if metric == "cosine":
             nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
             scale = nx[:, None] * ny[None]
@@ -87,9 +83,10 @@ def exact_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str =
         else:
             d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
         d = np.round(d, 6) + 0.0
-        top = np.argsort(d, axis=1, kind="stable")[:, :k]
-        r = np.repeat(np.arange(len(x)), top.shape[1])
-        yield pa.RecordBatch.from_arrays([a.column("id").combine_chunks().take(pa.array(r)), b.column("id").combine_chunks().take(pa.array(top.ravel())), pa.array(np.take_along_axis(d, top, 1).ravel())], ["query_id", "id", "distance"])
+        # rows stand in the order of ids; all that tie with the last of the k go on, the ranks below decide
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else d.max(axis=1, keepdims=True)
+        r, top = np.nonzero(d <= bound)
+        yield pa.RecordBatch.from_arrays([a.column("id").combine_chunks().take(pa.array(r)), b.column("id").combine_chunks().take(pa.array(top)), pa.array(d[r, top])], ["query_id", "id", "distance"])
 
     near = q.unionByName(c).groupBy("qb", "cb").applyInArrow(rank, f"query_id {typ}, id {typ}, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
@@ -145,33 +142,79 @@ def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return f.withColumn("rank", F.row_number().over(w))
 
 
+def _query_matrix(queries: DataFrame) -> tuple[list, np.ndarray, np.ndarray] | None:
+    """Ids, hashed vectors and places of a stated set of queries; None where there are more than MOST_QUERIES."""
+    rows = queries.select("query_id", T.words(F.col("query")).alias("words")).limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        return None
+    h = passes.Hasher(DIM)
+    made = [h.vector(r["words"]) for r in rows]
+    return [r["query_id"] for r in rows], np.array([v for v, _ in made]).reshape(-1, DIM), np.array([x for _, x in made], bool).reshape(-1, DIM)
+
+
+def body_of(columns: list[str]) -> Column:
+    """What a chunk's vector is made of: its symbol's label and signature, if known, and the content."""
+    return F.concat_ws("\n", F.concat_ws(" ", "label", "signature"), "content") if "label" in columns else F.col("content")
+
+
 def dense_lists(chunks: DataFrame, queries: DataFrame, limit: int) -> dict[str, DataFrame]:
-    """Nearest chunks of each query in the Text and the Code space: ``(query_id, id, distance, rank)``."""
-    body = F.concat_ws("\n", F.concat_ws(" ", "label", "signature"), "content") if "label" in chunks.columns else F.col("content")
-    src = chunks.select("id", feature_space(F.col("file_path")).alias("space"), body.alias("content"))
-    cells = hash_buckets(src)
-    q = hash_buckets(queries, "query_id", "query").toDF("query_id", "bucket", "q")
-    # only buckets of the queries matter; a query has at most DIM of them
-    dots = cells.join(q, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("value") * F.col("q")).alias("sim"))
-    near = src.select("id", "space").join(dots, "id").select("query_id", "id", "space", F.round(1 - F.col("sim"), 6).alias("distance"))
+    """Nearest chunks of each query in the Text and the Code space: ``(query_id, id, distance, rank)``.
+
+    Vectors are made in one pass and meet all queries there; more than
+    MOST_QUERIES queries meet them in blocks.
+    """
+    src = chunks.select("id", feature_space(F.col("file_path")).alias("space"), body_of(chunks.columns).alias("content"))
+    return _lists(passes.vector_rows(src, extra=("space",)), queries, limit)
+
+
+def stored_lists(features: DataFrame, queries: DataFrame, limit: int, embedder=None) -> dict[str, DataFrame]:
+    """The same from stored ``features(id, space, vector)``; ``embedder`` is the function of a text column that made them, if not hashing."""
+    usable = features.where(F.col("space").isin("Text", "Code") & F.col("vector").isNotNull() & (F.exists("vector", lambda x: x != 0)))
+    if embedder is None:
+        return _lists(usable, queries, limit)
+    asked = queries.select("query_id", V.normalize(embedder(F.col("query"))).alias("vector"))
+    rows = asked.where("vector is not null").limit(MOST_QUERIES + 1).collect()
+    q = ([r["query_id"] for r in rows], np.array([r["vector"] for r in rows]), None) if 0 < len(rows) <= MOST_QUERIES else None
+    return _lists(usable, queries, limit, q, asked)
+
+
+def _lists(vectors: DataFrame, queries: DataFrame, limit: int, q=None, asked: DataFrame | None = None) -> dict[str, DataFrame]:
+    q = q if q is not None or asked is not None else _query_matrix(queries)
+    typ = dict(queries.dtypes)["query_id"]
+    if q is not None and len(q[0]):
+        near = passes.nearest_rows(vectors, q[0], q[1], q[2] if "hit" in vectors.columns else None, limit, typ)
+    elif q is not None:
+        near = queries.sparkSession.createDataFrame([], f"query_id {typ}, id {dict(vectors.dtypes)['id']}, space string, distance double")
+    else:
+        # many queries: blocks of queries against blocks of vectors, a space at a time
+        vectors = materialize(vectors, "vectors")
+        asked = materialize(asked if asked is not None else passes.vector_rows(queries, "query_id", "query").select(F.col("id").alias("query_id"), "vector"), "asked")
+        near = reduce(DataFrame.unionByName, [exact_knn(asked, vectors.where(F.col("space") == s), limit).withColumn("space", F.lit(s)).drop("rank") for s in ("Text", "Code")])
     w = Window.partitionBy("query_id", "space").orderBy("distance", "id")
     # at most limit rows a query and space; written, as fusion and scoring both read them
     best = materialize(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit), "dense")
     return {s: best.where(F.col("space") == s).select("query_id", "id", "distance", "rank") for s in ("Text", "Code")}
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 5, mode: str = "hybrid", tf: DataFrame | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 5, mode: str = "hybrid", words: DataFrame | None = None, dense: dict[str, DataFrame] | None = None) -> DataFrame:
     """``(query_id, id, rank, rrf, score, distance)`` of ``chunks(id, file_path, content[, label, signature])``.
 
     Lists of twice ``limit`` are fused in the order keywords, text vectors, code
     vectors. Hits stay in that order; the score is the dense one if that is larger
-    than 50 times the fused sum, so it need not fall along the ranks.
+    than 50 times the fused sum, so it need not fall along the ranks. ``words`` and
+    ``dense`` are the lists of a stored index where there is one.
     """
     over = 2 * limit
     empty = chunks.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, id string, distance double, rank int")
-    words = bm25.search(tf if tf is not None else bm25.term_frequencies(chunks), queries, over).select("query_id", "id", "rank") if mode != "dense" else empty.select("query_id", "id", "rank")
-    dense = dense_lists(chunks, queries, over) if mode != "bm25" else {"Text": empty, "Code": empty}
-    fused = rrf([words, dense["Text"], dense["Code"]]).where(F.col("rank") <= limit)
+    if mode == "dense":
+        words = empty
+    elif words is None:
+        words = bm25.search_texts(chunks, queries, over)
+    if mode == "bm25":
+        dense = {"Text": empty, "Code": empty}
+    elif dense is None:
+        dense = dense_lists(chunks, queries, over)
+    fused = rrf([words.select("query_id", "id", "rank"), dense["Text"], dense["Code"]]).where(F.col("rank") <= limit)
     near = dense["Text"].unionByName(dense["Code"]).select("query_id", "id", "distance")
     return hit_scores(fused.join(near, ["query_id", "id"], "left")).select("query_id", "id", "rank", "rrf", "score", "distance")
 

@@ -105,14 +105,14 @@ def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 @query("bm25_search", f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     """Best chunks of each search by BM25."""
-    return bm25.search(_tf(spark, d), _searches(spark), 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return bm25.search_texts(_chunks(spark, d), _searches(spark), 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("topk_bm25", f"WITH {BM25} SELECT id, round(score, 6) AS score FROM bm WHERE query_id = 1 AND rank <= 20")
 def topk_bm25(spark: SparkSession, d: str) -> DataFrame:
     """The twenty best chunks of one search."""
     q = _searches(spark).where("query_id = 1")
-    return bm25.search(_tf(spark, d), q, None).orderBy(F.desc(F.round("score", 9)), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+    return bm25.search_texts(_chunks(spark, d), q, None).orderBy(F.desc(F.round("score", 9)), "id").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
 @query("join_inner_postings", f"WITH {BM25} SELECT query_id, term, t.id, q.tf AS qtf, t.tf FROM qw_tf q JOIN wd_tf t USING (term)")
@@ -277,7 +277,7 @@ def rank_lists(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d).select("id", "file_path", "content")
     q = _searches(spark)
     dense = retrieval.dense_lists(c, q, 10)
-    lists = [bm25.search(bm25.term_frequencies(c), q, 10), dense["Text"], dense["Code"]]
+    lists = [bm25.search_texts(c, q, 10), dense["Text"], dense["Code"]]
     out = [x.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.lit(i).cast("bigint").alias("list_no")) for i, x in enumerate(lists)]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -323,7 +323,7 @@ def hit_scoring(spark: SparkSession, d: str) -> DataFrame:
 def llm_context(spark: SparkSession, d: str) -> DataFrame:
     """The five best chunks of each search as one Markdown text."""
     c = _chunks(spark, d)
-    h = bm25.search(bm25.term_frequencies(c), _searches(spark), 5).join(c, "id")
+    h = bm25.search_texts(c, _searches(spark), 5).join(c, "id")
     z = F.lit(0)
     one = F.concat(F.lit("### "), "rank", F.lit(". "), F.coalesce("file_path", F.lit("")), F.lit(":"), F.coalesce("start_line", z), F.lit("-"), F.coalesce("end_line", z), F.lit("\n```"), T.fence_tag(F.col("file_path")), F.lit("\n"), F.coalesce("content", F.lit("")), F.lit("\n```"))
     g = h.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", one.alias("t")))).alias("x"))
