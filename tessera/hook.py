@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import os
 import sys
+import threading
 
 LEAST, MOST, LEADS = 12, 300, 3
+#: Seconds after which a prompt goes on without leads.
+LIMIT_S = 5.0
 
 
 def nearest_db(folder: str, name: str = ".tessera") -> str | None:
@@ -35,8 +38,26 @@ def leads(event: dict, engine=None) -> list[str]:
     return [f"{r['file_path']}:{r['start_line']}" for r in engine.search(prompt, LEADS, 0).hits.collect()]
 
 
+def within(seconds: float, f, *args) -> list[str]:
+    """What ``f`` returns, or nothing where it fails or takes longer."""
+    got: list[list[str]] = []
+
+    def run() -> None:
+        try:
+            got.append(f(*args))
+        except Exception:
+            pass
+
+    t = threading.Thread(target=run, daemon=True)
+    t.start()
+    t.join(seconds)
+    return got[0] if got else []
+
+
 if __name__ == "__main__":
     try:
-        print("\n".join(leads(json.load(sys.stdin))))
+        lines = within(LIMIT_S, leads, json.load(sys.stdin))
+        print("\n".join(lines), flush=True)
     except Exception:
         pass
+    os._exit(0)

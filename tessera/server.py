@@ -42,7 +42,7 @@ def make_server(engine: Engine, port: int = 8080) -> ThreadingHTTPServer:
             if url.path == "/":
                 self.reply(200, {"routes": ["/api/status", "/api/search", "/api/graph", "/api/chunk/{id}", "/api/index", "/api/llm-context"]})
             elif url.path == "/api/status":
-                self.reply(200, engine.stats() | {"files": engine.tables["files"].count()})
+                self.reply(200, engine.stats() | {t: engine.tables[t].count() for t in ("files", "features")})
             elif url.path == "/api/graph":
                 self.reply(200, {"nodes": _rows(engine.tables["nodes"].orderBy("id")), "edges": _rows(engine.tables["edges"].orderBy("source", "target", "kind"))})
             elif url.path.startswith("/api/chunk/"):

@@ -31,7 +31,7 @@ def category(content: Column, path: Column) -> Column:
     """``Pdf``, ``TextOrCode`` or ``Unsupported`` by first bytes, UTF-8 validity and NUL bytes."""
     starts = lambda hexed: F.substring(content, 1, len(hexed) // 2) == F.unhex(F.lit(hexed))
     magic = starts("25504446")
-    other = starts("494433") | starts("89504E47") | starts("FFD8FF") | starts("504B0304") | starts("52494646") | starts("664C6143") | starts("7F454C46")
+    other = starts("494433") | starts("89504E470D0A1A0A") | starts("FFD8FF") | starts("504B0304") | starts("52494646") | starts("664C6143") | starts("7F454C46")
     text = F.is_valid_utf8(content.cast("string")) & ~F.contains(content, F.unhex(F.lit("00")))
     return (
         F.when(magic, "Pdf").when(F.lower(T.extension(path)) == "pdf", "Unsupported").when(other, "Unsupported").when(text, "TextOrCode").otherwise("Unsupported")
@@ -54,11 +54,36 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return out.select(F.col("rel").alias("path"), "ext", F.col("modificationTime").alias("mtime"), "length", "content", "category")
 
 
-def parse_git_log(log: DataFrame) -> DataFrame:
-    """``(seq, hash, subject, files)`` from lines ``(line_no, line)`` of a log with names; commits without files drop out."""
-    w = Window.orderBy("line_no")
+def stamps(root: str) -> dict[str, tuple[float, int]]:
+    """Modification time and size of the files of a local folder that a scan would look at, without Spark."""
+    out = {}
+    for folder, names, files in os.walk(root):
+        names[:] = [n for n in names if not n.startswith(".") and n not in SKIP_FOLDERS]
+        for f in files:
+            if f.startswith(".") or f.rpartition(".")[2].lower() in SKIP_EXTENSIONS:
+                continue
+            try:
+                at = os.stat(full := os.path.join(folder, f))
+            except OSError:
+                continue
+            out[os.path.relpath(full, root)] = (at.st_mtime, at.st_size)
+    return out
+
+
+def parse_git_log(log: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """``(seq, hash, subject, files)`` from lines ``(line_no, line)`` of a log with names; commits without files drop out.
+
+    Lines are numbered by blocks of ``block`` line numbers: the headers of a block
+    are counted, the counts of the blocks before are added, so that no task sorts a
+    whole log.
+    """
     head = F.startswith(F.col("line"), F.lit("COMMIT:"))
-    s = log.withColumn("seq", F.sum(F.when(head, 1).otherwise(0)).over(w)).where("seq > 0")
+    src = log.withColumn("block", F.floor(F.col("line_no") / F.lit(block)))
+    per = src.groupBy("block").agg(F.count_if(head).alias("heads"))
+    # one row a block
+    before = per.withColumn("base", F.coalesce(F.sum("heads").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("block", "base")
+    w = Window.partitionBy("block").orderBy("line_no")
+    s = src.join(before, "block").withColumn("seq", F.col("base") + F.sum(F.when(head, 1).otherwise(0)).over(w)).where("seq > 0")
     title = s.where(head).select("seq", F.regexp_extract("line", r"^COMMIT:([^|]*)\|", 1).alias("hash"), F.regexp_extract("line", r"^COMMIT:[^|]*\|(.*)$", 1).alias("subject"))
     files = s.where(~head & (F.trim("line") != "")).groupBy("seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.trim("line").alias("f")))), lambda x: x["f"]).alias("files"))
     return title.join(files, "seq").select("seq", "hash", "subject", "files")
@@ -73,7 +98,7 @@ def git_history(spark: SparkSession, root: str, commits: int = 200) -> DataFrame
 
 def fixture(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Documents and labelled queries of a JSON fixture; an error for repeated ids or labels of unknown documents."""
-    schema = "documents array<struct<id:string,path:string,content:string>>, queries array<struct<id:string,kind:string,text:string,relevance:map<string,int>>>"
+    schema = "documents array<struct<id:string,path:string,content:string,fingerprint_byte:int>>, queries array<struct<id:string,kind:string,text:string,relevance:map<string,int>>>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
     docs = raw.select(F.explode("documents").alias("d")).select("d.*")
     qrels = raw.select(F.explode("queries").alias("q")).select(F.col("q.id").alias("query_id"), "q.kind", "q.text", F.explode_outer("q.relevance").alias("id", "grade"))

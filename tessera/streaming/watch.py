@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,6 +51,29 @@ def debounce(events: DataFrame, ts: str = "ts", key: str | tuple[str, ...] | Non
     return j.withColumn("batch_start", F.timestamp_micros("_start")).select(*events.columns, "batch_start")
 
 
+def bursts(look: Callable[[], object], delay_ms: int = 300, rounds: int | None = None, idle_ms: int = 50) -> Iterator[object]:
+    """States of a watched thing, one for each burst of changes.
+
+    ``look`` gives the state now. The first difference opens a burst, which closes
+    a fixed delay later whatever comes in between, as with ``debounce``. The first
+    look counts as a change. Ends after ``rounds`` bursts or quiet delays.
+    """
+    last: object = None
+    while rounds is None or rounds > 0:
+        waited = 0
+        while (now := look()) == last and (rounds is None or waited < delay_ms):
+            time.sleep(idle_ms / 1000)
+            waited += idle_ms
+        rounds = None if rounds is None else rounds - 1
+        if now == last:
+            continue
+        if last is not None:
+            time.sleep(delay_ms / 1000)
+            now = look()
+        last = now
+        yield now
+
+
 def file_events(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", per_trigger: int = 1000) -> DataFrame:
     """A stream of the files that arrive in a folder."""
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", per_trigger).load(folder)

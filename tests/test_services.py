@@ -1,15 +1,18 @@
 import json
 import threading
+import time
 import urllib.error
 import urllib.request
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import benchmarks, hook
 from tessera.api import Engine
 from tessera.operators import updates
 from tessera.server import make_server
 from tessera.sources import files
+from tessera.streaming import watch
 
 
 def test_server_and_hook(spark, tmp_path):
@@ -84,3 +87,66 @@ def test_non_text_paths(spark):
     n = spark.createDataFrame([("b.md", "Image"), ("e.md", "File")], "file_path string, kind string")
     f = spark.createDataFrame([(4, "BinaryFingerprint"), (5, "Text")], "vector_id bigint, space string")
     assert {r[0] for r in updates.non_text_paths(c, n, f, files.SKIP_EXTENSIONS).collect()} == {"a.png", "b.md", "c.md", "d.md"}
+
+
+def test_stored_index(spark, tmp_path):
+    """Vectors that are given, an embedder of one's own, versions without postings, and removal."""
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "a.py").write_text("def load_table(x):\n    return x\n")
+    (root / "b.md").write_text("# Reader\nthe snapshot reader\n")
+    (root / "c.md").write_text("# Other\nplain words\n")
+    e = Engine(str(tmp_path / "db"), spark)
+    e.index(str(root))
+    one = e.tables["chunks"].where("file_path = 'b.md'").first()["id"]
+    hits = lambda x, mode="hybrid": [r["file_path"] for r in x.search("snapshot reader", 3, 0, mode).hits.collect()]
+    assert hits(e)[0] == hits(e, "dense")[0] == "b.md" and hits(e, "bm25") == ["b.md"]
+    assert {r["space"] for r in e.tables["features"].collect()} == {"Code", "Text"}
+    plan = e.tables["postings"].where("term in ('reader')")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,reader)]" in plan
+    e.index(str(root), spark.createDataFrame([(one, [1.0] + [0.0] * 255)], "id string, vector array<double>"))
+    assert [r["id"] for r in e.tables["features"].where("space = 'BinaryFingerprint'").collect()] == [one]
+    assert "b.md" not in hits(e, "dense") and hits(e, "bm25") == ["b.md"]
+    e.rebuild()
+    assert [r["id"] for r in e.tables["features"].where("space = 'BinaryFingerprint'").collect()] == [one]
+    e.remove_files(["b.md"])
+    assert hits(e, "bm25") == [] and e.tables["features"].count() == e.tables["chunks"].count() == 2
+    f = lambda t: F.array(F.contains(t, F.lit("words")).cast("double"), F.lit(0.1).cast("double"))
+    own = Engine(str(tmp_path / "db2"), spark, embedder=f)
+    own.index(str(root))
+    assert [r["file_path"] for r in own.search("words", 1, 0, "dense").hits.collect()] == ["c.md"]
+    older = {k: own.tables[k] for k in ("chunks", "nodes", "edges", "files")}
+    files.save_snapshot(older, str(tmp_path / "db3"))
+    again = Engine(str(tmp_path / "db3"), spark)
+    assert hits(again)[0] == "b.md" and again.tables["postings"].count() == own.tables["postings"].count()
+
+
+def test_non_text_goes_on_purge(spark, tmp_path):
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "a.md").write_text("# A\nx\n")
+    (root / "b.md").write_text("# B\ny\n")
+    e = Engine(str(tmp_path / "db"), spark)
+    e.index(str(root))
+    chunks = e.tables["chunks"].withColumn("content", F.when(F.col("file_path") == "b.md", "PDF Document: z").otherwise(F.col("content")))
+    files.save_snapshot({k: e.tables[k] for k in ("nodes", "edges", "files")} | {"chunks": chunks}, str(tmp_path / "db2"))
+    assert {r["file_path"] for r in Engine(str(tmp_path / "db2"), spark).tables["chunks"].collect()} == {"a.md"}
+
+
+def test_bursts_and_limits(tmp_path):
+    (tmp_path / "a.md").write_text("1")
+    (tmp_path / "x.png").write_text("1")
+    seen = []
+    for i, state in enumerate(watch.bursts(lambda: files.stamps(str(tmp_path)), 40, 4, 5)):
+        seen.append(sorted(state))
+        if i == 0:
+            (tmp_path / "b.md").write_text("2")
+    assert seen == [["a.md"], ["a.md", "b.md"]]
+    assert hook.within(5, lambda: ["a:1"]) == ["a:1"] and hook.within(0.05, lambda: time.sleep(1) or ["late"]) == [] and hook.within(1, lambda: 1 / 0) == []
+
+
+def test_fingerprints_of_a_fixture(spark, tmp_path):
+    x = {"documents": [{"id": "a", "path": "a.md", "content": "alpha beta", "fingerprint_byte": 7}, {"id": "b", "path": "b.md", "content": "gamma"}], "queries": [{"id": "q", "kind": "exact", "text": "alpha", "relevance": {"a": 3}}]}
+    (tmp_path / "f.json").write_text(json.dumps(x))
+    got = {r["mode"]: r["hit_at_1"] for r in Engine(str(tmp_path / "db"), spark).evaluate(str(tmp_path / "f.json")).collect()}
+    assert got["bm25"] == 1.0 and got["dense"] == 0.0

@@ -123,7 +123,7 @@ def test_refresh_equals_a_fresh_run(spark, tmp_path):
         e.refresh(root)
     fresh = Engine(str(tmp_path / "db2"), spark)
     fresh.index(root)
-    for t in ("chunks", "nodes", "edges"):
+    for t in ("chunks", "nodes", "edges", "postings", "features", "lengths"):
         rows = lambda x: sorted(map(repr, x.tables[t].collect()))  # noqa: E731, B023
         assert rows(e) == rows(fresh), t
     again = Engine(str(tmp_path / "db"), spark)
