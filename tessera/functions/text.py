@@ -10,6 +10,12 @@ WORD = r"([\p{IsAlphabetic}\p{N}_]+)"
 #: Case boundaries inside an identifier: lower before upper, or before an upper that a lower follows.
 CASE_CUT = r"(?<=\p{Ll})(?=\p{Lu})|(?<=[^_])(?=\p{Lu}\p{Ll})"
 
+#: White space of any script, inside a class of a regular expression.
+SPACE = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
+
+#: Marks that count as letters where an expression knows no ``Alphabetic``: numbers that are letters, circled letters, vowel signs.
+OTHER_LETTERS = r"\p{Nl}\x{24b6}-\x{24e9}\x{0345}\p{Mc}"
+
 
 def words(text: Column) -> Column:
     """The words of a text in order; null for a null text."""
@@ -79,9 +85,14 @@ def trim_dot_slash(path: Column) -> Column:
     return F.regexp_replace(path, r"^(\./)+", "")
 
 
-def slug(title: Column) -> Column:
-    """Anchor of a heading: lower case; letters, numbers, ``_`` and ``-`` stay, white space becomes one ``-``."""
-    kept = F.regexp_replace(F.regexp_replace(F.lower(title), r"[^\p{IsAlphabetic}\p{N}_\-\s]", ""), r"[\s-]+", "-")
+def slug(title: Column, runs: bool = False) -> Column:
+    """Anchor of a heading: lower case; letters, numbers, ``_`` and ``-`` stay, white space becomes one ``-``.
+
+    With ``runs``, as anchors of sections are made, each ``-`` of the title stays,
+    and white space adds one unless one stands right before it.
+    """
+    kept = F.regexp_replace(F.lower(title), rf"[^\p{{IsAlphabetic}}\p{{N}}_\-{SPACE}]", "")
+    kept = F.regexp_replace(kept, rf"-?[{SPACE}]+" if runs else rf"[{SPACE}-]+", "-")
     return F.regexp_replace(kept, r"^-+|-+$", "")
 
 

@@ -53,6 +53,32 @@ def feature_space(path: Column, kind: Column | None = None, override: Column | N
     return out
 
 
+def _blocks(queries: DataFrame, corpus: DataFrame, block: int) -> DataFrame:
+    """Rows of both sides under each pair of blocks ``(qb, cb)`` they belong to; each side is cut by hash."""
+    q_blocks, c_blocks = (max(1, -(-d.count() // block)) for d in (queries, corpus))
+    place = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col("query_id").alias("id"), "vector", place("query_id", q_blocks).alias("qb"), every(c_blocks).alias("cb"), F.lit(True).alias("is_query"))
+    c = corpus.select("id", "vector", every(q_blocks).alias("qb"), place("id", c_blocks).alias("cb"), F.lit(False).alias("is_query"))
+    return q.unionByName(c)
+
+
+def block_products(queries: DataFrame, corpus: DataFrame, block: int = 4096) -> DataFrame:
+    """``(query_id, n, total)``: number and sum of the inner products of each query with the vectors of one block."""
+    typ = dict(queries.dtypes)["query_id"]
+
+    def multiply(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        ask = t.column("is_query").to_numpy()
+        if not ask.any() or ask.all():
+            return
+        a, b = t.take(pa.array(np.flatnonzero(ask))), t.take(pa.array(np.flatnonzero(~ask)))
+        x = passes.matrix_of(a.column("vector")) @ passes.matrix_of(b.column("vector")).T
+        yield pa.RecordBatch.from_arrays([a.column("id").combine_chunks(), pa.array(np.full(len(x), x.shape[1])), pa.array(x.sum(1))], ["query_id", "n", "total"])
+
+    return _blocks(queries, corpus, block).groupBy("qb", "cb").applyInArrow(multiply, f"query_id {typ}, n bigint, total double")
+
+
 def exact_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cosine", block: int = 4096) -> DataFrame:
     """``(query_id, id, distance, rank)`` of ``queries(query_id, vector)`` against all of ``corpus(id, vector)``.
 
@@ -60,11 +86,7 @@ def exact_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str =
     product and keeps ``k`` a query, so the work is spread and nothing is
     broadcast. Distances are rounded to 6 places; ties go to the smaller id.
     """
-    q_blocks, c_blocks = (max(1, -(-d.count() // block)) for d in (queries, corpus))
-    place = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.col("query_id").alias("id"), "vector", place("query_id", q_blocks).alias("qb"), every(c_blocks).alias("cb"), F.lit(True).alias("is_query"))
-    c = corpus.select("id", "vector", every(q_blocks).alias("qb"), place("id", c_blocks).alias("cb"), F.lit(False).alias("is_query"))
+    both = _blocks(queries, corpus, block)
     typ = dict(corpus.dtypes)["id"]
 
     def rank(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +110,7 @@ def exact_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str =
         r, top = np.nonzero(d <= bound)
         yield pa.RecordBatch.from_arrays([a.column("id").combine_chunks().take(pa.array(r)), b.column("id").combine_chunks().take(pa.array(top)), pa.array(d[r, top])], ["query_id", "id", "distance"])
 
-    near = q.unionByName(c).groupBy("qb", "cb").applyInArrow(rank, f"query_id {typ}, id {typ}, distance double")
+    near = both.groupBy("qb", "cb").applyInArrow(rank, f"query_id {typ}, id {typ}, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -68,10 +68,10 @@ def feature_space_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "features").groupBy("space").agg(F.count("*").alias("n"))
 
 
-@query("override_vectors", f"WITH {CH}, g AS (SELECT vector_id, min(vector) AS given FROM features WHERE space = 'BinaryFingerprint' AND len(vector) = 256 GROUP BY vector_id) SELECT ch.id, CASE WHEN given IS NOT NULL THEN 'BinaryFingerprint' WHEN regexp_extract(file_path, '[^/.][^/]*\\.([^./]+)$', 1) IN {CODE} THEN 'Code' ELSE 'Text' END AS space, given FROM ch LEFT JOIN g USING (vector_id)")
+@query("override_vectors", f"WITH {CH}, g AS (SELECT vector_id, min(list_transform(vector::DOUBLE[], lambda x: round(x, 6) + 0.0)) AS given FROM features WHERE space = 'BinaryFingerprint' AND len(vector) = 256 GROUP BY vector_id) SELECT ch.id, CASE WHEN given IS NOT NULL THEN 'BinaryFingerprint' WHEN regexp_extract(file_path, '[^/.][^/]*\\.([^./]+)$', 1) IN {CODE} THEN 'Code' ELSE 'Text' END AS space, given FROM ch LEFT JOIN g USING (vector_id)")
 def override_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Given vectors in place of hashed ones, for chunks that have them."""
-    given = table(spark, d, "features").where("space = 'BinaryFingerprint' and size(vector) = 256").groupBy("vector_id").agg(F.min("vector").alias("given"))
+    given = table(spark, d, "features").where("space = 'BinaryFingerprint' and size(vector) = 256").groupBy("vector_id").agg(F.min(F.transform("vector", lambda x: F.round(x.cast("double"), 6) + F.lit(0.0))).alias("given"))
     return _chunks(spark, d).select("id", "vector_id", "file_path").join(given, "vector_id", "left").select("id", retrieval.feature_space(F.col("file_path"), override=F.col("given").isNotNull()).alias("space"), "given")
 
 
@@ -79,11 +79,6 @@ def _embeddings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-def _vector(e: DataFrame, i: int):
-    """One vector as a literal."""
-    return F.array(*(F.lit(float(x)) for x in e.where(F.col("id") == i).first()["vector"]))
-
-
 def _ann_sql(distance: str) -> str:
     return f"""SELECT query_id, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM
         (SELECT q.vec_id AS query_id, e.vec_id AS id, round({distance}, 6) AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)) WHERE rank <= 10"""
@@ -104,19 +99,23 @@ _ann_query("dot", f"-list_inner_product({A}, {B})")
 _ann_query("l2", f"list_distance({A}, {B})")
 
 
+def _near_one(spark: SparkSession, d: str, metric: str, k: int) -> DataFrame:
+    e = _embeddings(spark, d)
+    return retrieval.exact_knn(e.where("id = 5").withColumnRenamed("id", "query_id"), e, k, metric)
+
+
 @query("topk_ann", f"SELECT e.vec_id AS id, round(1 - list_cosine_similarity({A}, {B}), 6) AS distance FROM embeddings q, embeddings e WHERE q.vec_id = 5 ORDER BY distance, id LIMIT 10")
 def topk_ann(spark: SparkSession, d: str) -> DataFrame:
     """The ten vectors nearest to one."""
-    e = _embeddings(spark, d)
-    return e.select("id", F.round(V.cosine_distance(_vector(e, 5), F.col("vector")), 6).alias("distance")).orderBy("distance", "id").limit(10)
+    return _near_one(spark, d, "cosine", 10).select("id", "distance")
 
 
 @query("join_cross_vectors", f"SELECT q.vec_id AS query_id, count(*) AS n, round(avg(list_inner_product({A}, {B})), 6) AS mean FROM embeddings q, embeddings e WHERE q.vec_id IN (1, 2, 3) GROUP BY ALL")
 def join_cross_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Three given vectors against all."""
+    """Three given vectors against all, by blocks."""
     e = _embeddings(spark, d)
-    each = F.array(*(F.struct(F.lit(i).cast("bigint").alias("query_id"), V.dot(_vector(e, i), F.col("vector")).alias("x")) for i in (1, 2, 3)))
-    return e.select(F.explode(each).alias("q")).groupBy("q.query_id").agg(F.count("*").alias("n"), F.round(F.avg("q.x"), 6).alias("mean"))
+    x = retrieval.block_products(e.where("id in (1, 2, 3)").withColumnRenamed("id", "query_id"), e)
+    return x.groupBy("query_id").agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean"))
 
 
 @query("topk_per_query", "SELECT event_type, event_id, value, rank FROM (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5")
@@ -146,9 +145,7 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
 @query("set_intersect_topk", f"SELECT id FROM (SELECT e.vec_id AS id FROM embeddings q, embeddings e WHERE q.vec_id = 5 ORDER BY round(1 - list_cosine_similarity({A}, {B}), 6), e.vec_id LIMIT 40) INTERSECT SELECT id FROM (SELECT e.vec_id AS id FROM embeddings q, embeddings e WHERE q.vec_id = 5 ORDER BY round(-list_inner_product({A}, {B}), 6), e.vec_id LIMIT 40)")
 def set_intersect_topk(spark: SparkSession, d: str) -> DataFrame:
     """Vectors near to one under two metrics."""
-    e = _embeddings(spark, d)
-    q = _vector(e, 5)
-    top = lambda m: e.select("id", F.round(V.distance(m, q, F.col("vector")), 6).alias("x")).orderBy("x", "id").limit(40).select("id")
+    top = lambda m: _near_one(spark, d, m, 40).select("id")
     return top("cosine").intersect(top("dot"))
 
 
@@ -256,9 +253,7 @@ def percentile_ceil(spark: SparkSession, d: str) -> DataFrame:
 @query("next_chunk_edges", f"WITH {CH} SELECT before AS source, id AS target FROM (SELECT id, lag(id) OVER (PARTITION BY file_path ORDER BY start_line NULLS FIRST, id) AS before FROM ch WHERE file_path IS NOT NULL) WHERE before IS NOT NULL")
 def next_chunk_edges(spark: SparkSession, d: str) -> DataFrame:
     """Each chunk and the next of its file."""
-    w = Window.partitionBy("file_path").orderBy(F.col("start_line").asc_nulls_first(), "id")
-    c = _chunks(spark, d).where("file_path is not null").select(F.lag("id").over(w).alias("source"), F.col("id").alias("target"))
-    return c.where("source is not null")
+    return parsers.next_links(_chunks(spark, d), "file_path", ["start_line"], "id")
 
 
 _QREL = "rl AS (SELECT doc_id % 20 AS query_id, doc_id AS id, CAST(doc_id % 4 AS INT) AS grade, doc_kind AS kind FROM documents), rk AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY (id * 7919) % 1009, id) AS rank FROM rl)"
@@ -299,18 +294,16 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return m.select("kind", "queries", *(F.round(c, 6).alias(c) for c in m.columns[2:]))
 
 
-_MD = r"""md AS (SELECT doc_id, l, line FROM (SELECT doc_id, unnest(x) AS l, generate_subscripts(x, 1) AS line FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '\n$', ''), chr(10)) AS x FROM documents
-    WHERE text IS NOT NULL AND NOT contains(text, '```') AND NOT contains(text, '~~~')))),
-    hd AS (SELECT doc_id, l, line, CASE WHEN regexp_matches(l, '^#{1,6}\s+') THEN 1 ELSE 0 END AS h FROM md)"""
+_WS = r"[\t-\r\x1c-\x1f\x{0085}\p{Z}]"
+_MD = rf"""md AS (SELECT doc_id, l, line, regexp_extract(l, '^{_WS}*(```|~~~)', 1) AS mark FROM (SELECT doc_id, unnest(x) AS l, generate_subscripts(x, 1) AS line FROM
+        (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '\n$', ''), chr(10)) AS x FROM documents WHERE text IS NOT NULL))),
+    mk AS (SELECT doc_id, line, mark, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM md WHERE mark <> ''),
+    fs AS (SELECT doc_id, k, line, mark AS fence FROM mk WHERE k = 1
+        UNION ALL SELECT mk.doc_id, mk.k, mk.line, CASE WHEN fence = '' THEN mk.mark WHEN fence = mk.mark THEN '' ELSE fence END FROM fs JOIN mk ON mk.doc_id = fs.doc_id AND mk.k = fs.k + 1),
+    hd AS (SELECT md.doc_id, l, md.line, CASE WHEN mark = '' AND coalesce(fence, '') = '' AND regexp_matches(l, '^#{{1,6}}{_WS}') THEN 1 ELSE 0 END AS h FROM md ASOF LEFT JOIN fs ON md.doc_id = fs.doc_id AND md.line >= fs.line)"""
 
 
 def _md_lines(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").where("text is not null and not contains(text, '```') and not contains(text, '~~~')")
-    x = t.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line", "l")).withColumn("line", (F.col("line") + 1).cast("bigint"))
-    return x.withColumn("h", F.when(F.rlike(F.col("l"), F.lit(r"^#{1,6}\s+")), 1).otherwise(0))
-
-
-def _md_fenced(spark: SparkSession, d: str) -> DataFrame:
     """``(doc_id, line, h, title)`` of all documents: lines in fences and lines that mark them are no headings."""
     t = table(spark, d, "documents").where("text is not null")
 
@@ -326,51 +319,46 @@ def _md_fenced(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", T.lines(F.col("text")).alias("l")).mapInArrow(f, f"doc_id {dict(t.dtypes)['doc_id']}, line bigint, h int, title string")
 
 
-def _sections(lines: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("line")
-    s = lines.withColumn("section", F.sum("h").over(w).cast("bigint"))
-    return s.groupBy("doc_id", "section").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.count("*").alias("lines"))
-
-
-def _ordinals(heads: DataFrame) -> DataFrame:
-    return heads.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("line")).cast("bigint") - 1)
-
-
-@query("md_sections", f"WITH {_MD}, s AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY line) AS sec FROM hd) SELECT doc_id, CAST(sec AS BIGINT) AS section, CAST(min(line) AS BIGINT) AS start_line, CAST(max(line) AS BIGINT) AS end_line, count(*) AS lines FROM s GROUP BY ALL")
+@query("md_sections", f"WITH RECURSIVE {_MD}, s AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY line) AS sec FROM hd) SELECT doc_id, CAST(sec AS BIGINT) AS section, CAST(min(line) AS BIGINT) AS start_line, CAST(max(line) AS BIGINT) AS end_line, count(*) AS lines FROM s GROUP BY ALL")
 def md_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Sections of documents without fences, by a running count of headings; ``md_sections_whole`` takes all documents."""
-    return _sections(_md_lines(spark, d))
-
-
-@query("md_sections_whole")
-def md_sections_whole(spark: SparkSession, d: str) -> DataFrame:
     """Sections of all documents, by a running count of the headings outside of fences."""
-    return _sections(_md_fenced(spark, d))
+    s = _md_lines(spark, d).withColumn("section", F.sum("h").over(Window.partitionBy("doc_id").orderBy("line")).cast("bigint"))
+    return s.groupBy("doc_id", "section").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.count("*").alias("lines"))
 
 
-@query("anchor_ordinals", rf"""WITH {_MD}, t AS (SELECT doc_id, line, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(l, '^#{{1,6}}\s+', '')), '[^a-z0-9_\-\s]', '', 'g'), '[\s-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM hd WHERE h = 1 AND NOT regexp_matches(l, '[^\x00-\x7f]'))
+@query("anchor_ordinals", rf"""WITH RECURSIVE {_MD}, t AS (SELECT doc_id, line, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(l, '^#{{1,6}}{_WS}+', '')), '[^\p{{L}}\p{{N}}{T.OTHER_LETTERS}_\-\t-\r\x1c-\x1f\x{{0085}}\p{{Z}}]', '', 'g'), '-?{_WS}+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM hd WHERE h = 1)
     SELECT doc_id, line, slug, row_number() OVER (PARTITION BY doc_id, slug ORDER BY line) - 1 AS ordinal FROM t""")
 def anchor_ordinals(spark: SparkSession, d: str) -> DataFrame:
-    """Number of each ASCII heading of documents without fences among those of equal anchor; ``anchor_ordinals_whole`` takes all headings."""
-    t = _md_lines(spark, d).where("h = 1").where(~F.rlike(F.col("l"), F.lit(r"[^\x00-\x7f]"))).select("doc_id", "line", T.slug(F.regexp_replace("l", r"^#{1,6}\s+", "")).alias("slug"))
-    return _ordinals(t)
+    """Number of each heading outside of fences among those of equal anchor, in any script."""
+    heads = _md_lines(spark, d).where("h = 1").select("doc_id", "line", T.slug(F.col("title"), runs=True).alias("slug"))
+    return heads.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("line")).cast("bigint") - 1)
 
 
-@query("anchor_ordinals_whole")
-def anchor_ordinals_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Number of each heading outside of fences among those of equal anchor, in any script, among those of equal anchor."""
-    return _ordinals(_md_fenced(spark, d).where("h = 1").select("doc_id", "line", T.slug(F.col("title")).alias("slug")))
+#: Earlier names.
+md_sections_whole, anchor_ordinals_whole = md_sections, anchor_ordinals
 
 
-@query("brace_blocks", rf"""WITH {CH}, l AS (SELECT id, unnest(x) AS l, generate_subscripts(x, 1) AS line FROM (SELECT id, string_split(content, chr(10)) AS x FROM ch WHERE content IS NOT NULL AND (ends_with(file_path, '.rs') OR ends_with(file_path, '.go'))))
-    SELECT id, CAST(line AS BIGINT) AS line, CAST(sum((length(l) - length(replace(l, '{{', ''))) - (length(l) - length(replace(l, '}}', '')))) OVER (PARTITION BY id ORDER BY line) AS BIGINT) AS depth FROM l""")
+@query("brace_blocks", rf"""WITH {CH}, x AS (SELECT id, string_split(regexp_replace(regexp_replace(content, '\r\n', chr(10), 'g'), '\n$', ''), chr(10)) AS x FROM ch WHERE content IS NOT NULL AND content <> ''),
+    l AS (SELECT id, unnest(x) AS l, generate_subscripts(x, 1) AS line, len(x) AS n FROM x),
+    c AS (SELECT id, line, n, length(l) - length(replace(l, '{{', '')) AS ups, length(l) - length(replace(l, '}}', '')) AS downs FROM l),
+    s AS (SELECT id, line, n, ups, ups - downs AS move, sum(ups - downs) OVER (PARTITION BY id ORDER BY line) AS depth FROM c)
+    SELECT a.id, CAST(a.line AS BIGINT) AS line, CAST(any_value(a.depth) AS BIGINT) AS depth, CASE WHEN any_value(a.ups) > 0 THEN CAST(coalesce(min(b.line), any_value(a.n)) AS BIGINT) END AS block_end
+    FROM s a LEFT JOIN s b ON a.ups > 0 AND a.id = b.id AND b.line >= a.line AND b.depth <= a.depth - a.move GROUP BY a.id, a.line""")
 def brace_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Depth of braces after each line of Rust and Go chunks."""
-    c = _chunks(spark, d).where("content is not null and (endswith(file_path, '.rs') or endswith(file_path, '.go'))")
-    x = c.select("id", F.posexplode(F.split("content", "\n")).alias("line", "l"))
-    n = lambda ch: F.length("l") - F.length(F.replace(F.col("l"), F.lit(ch), F.lit("")))
-    w = Window.partitionBy("id").orderBy("line")
-    return x.select("id", (F.col("line") + 1).cast("bigint").alias("line"), F.sum(n("{") - n("}")).over(w).cast("bigint").alias("depth"))
+    """Depth of braces after each line of all chunks, and for lines that open one the line that closes it."""
+    c = _chunks(spark, d).where("content is not null and content <> ''").select("id", T.lines(F.col("content")).alias("l"))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                lines = b.column(1)[i].as_py()
+                depth, rows = 0, []
+                for k, x in enumerate(lines):
+                    depth += x.count("{") - x.count("}")
+                    rows.append((k + 1, depth, parsers.block_end(lines, k) if "{" in x else None))
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(lines)), *(pa.array(v, pa.int64()) for v in zip(*rows))], ["id", "line", "depth", "block_end"])
+
+    return c.mapInArrow(f, "id string, line bigint, depth bigint, block_end bigint")
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -416,41 +404,31 @@ def gitlog_sessionize(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "debounce_batches",
-    """WITH RECURSIVE e AS (SELECT event_type, date_trunc('day', ts) AS day, ts FROM events WHERE ts IS NOT NULL),
-    b AS (SELECT event_type, day, min(ts) AS s FROM e GROUP BY ALL UNION ALL
-        SELECT b.event_type, b.day, min(e.ts) FROM b JOIN e ON e.event_type = b.event_type AND e.day = b.day AND e.ts > b.s + INTERVAL 300 SECOND GROUP BY b.event_type, b.day, b.s)
-    SELECT b.event_type, b.s AS batch_start, count(*) AS n FROM b JOIN e ON e.event_type = b.event_type AND e.day = b.day AND e.ts >= b.s AND e.ts <= b.s + INTERVAL 300 SECOND GROUP BY ALL""",
+    """WITH RECURSIVE e AS (SELECT event_type, ts FROM events WHERE ts IS NOT NULL),
+    b AS (SELECT event_type, min(ts) AS s FROM e GROUP BY ALL UNION ALL
+        SELECT b.event_type, min(e.ts) FROM b JOIN e ON e.event_type = b.event_type AND e.ts > b.s + INTERVAL 300 SECOND GROUP BY b.event_type, b.s)
+    SELECT b.event_type, b.s AS batch_start, count(*) AS n FROM b JOIN e ON e.event_type = b.event_type AND e.ts >= b.s AND e.ts <= b.s + INTERVAL 300 SECOND GROUP BY ALL""",
 )
 def debounce_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Batches of events within 5 minutes of their first, begun anew each day; ``debounce_batches_whole`` goes on over midnight."""
-    e = table(spark, d, "events").withColumn("day", F.date_trunc("day", "ts"))
-    return _batches(e, ("event_type", "day"))
-
-
-@query("debounce_batches_whole")
-def debounce_batches_whole(spark: SparkSession, d: str) -> DataFrame:
     """Batches of events within 5 minutes of their first."""
-    return _batches(table(spark, d, "events"), "event_type")
-
-
-def _batches(events: DataFrame, key: str | tuple[str, ...]) -> DataFrame:
-    return watch.debounce(events, "ts", key, 300_000).groupBy("event_type", F.col("batch_start").cast("timestamp_ntz").alias("batch_start")).agg(F.count("*").alias("n"))
+    e = watch.debounce(table(spark, d, "events"), "ts", "event_type", 300_000)
+    return e.groupBy("event_type", F.col("batch_start").cast("timestamp_ntz").alias("batch_start")).agg(F.count("*").alias("n"))
 
 
 @query("stream_events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_events(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly counts, by a stream that runs over all files there are."""
-    e = table(spark, d, "events")
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    """Hourly counts, by a stream that runs over all files there are; each micro-batch puts out all windows as they stand."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    last: list[str] = []
+
+    def put(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(path := f"{root}/v{n}")
+        last[:] = [path]
+
     s = watch.windowed_counts(_stream_of(spark, d, "events"))
-    q = s.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
-    closed = spark.read.schema("start timestamp, event_type string, n bigint, total double").parquet(f"{out}/rows")
-    # windows that the watermark has not closed yet come from the table
-    last = closed.agg(F.max("start")).first()[0]
-    rest = watch.windowed_counts(e)
-    rest = rest if last is None else rest.where(F.col("start") > F.lit(last))
-    return closed.unionByName(rest).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    s.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(last[0]) if last else watch.windowed_counts(table(spark, d, "events").limit(0))
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def _stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:

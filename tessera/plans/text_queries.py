@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import bm25, retrieval, updates
 from ..session import materialize, table
+from ..sources import parsers
 from .catalog import query
 
 #: The queries of single searches; fixed texts.
@@ -228,9 +232,15 @@ def feature_space_route(spark: SparkSession, d: str) -> DataFrame:
 def generic_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 50 lines that share 10, of each chunk's text."""
     ls = _chunks(spark, d).where("content is not null and content <> ''").select("id", T.lines(F.col("content")).alias("l"))
-    n = F.size("l")
-    s = ls.select("id", "l", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - 50) / 40.0).cast("int")))).alias("k")).withColumn("at", F.col("k") * 40)
-    return s.select("id", (F.col("at") + 1).cast("bigint").alias("start_line"), F.least(F.size("l"), F.col("at") + 50).cast("bigint").alias("end_line"), F.array_join(F.slice("l", F.col("at") + 1, F.lit(50)), "\n").alias("content"))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                lines = b.column(1)[i].as_py()
+                found = parsers.windows(lines)
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(found)), pa.array([x.start for x in found]), pa.array([x.end for x in found]), pa.array(["\n".join(lines[x.start - 1 : x.end]) for x in found], pa.string())], ["id", "start_line", "end_line", "content"])
+
+    return ls.mapInArrow(f, "id string, start_line bigint, end_line bigint, content string")
 
 
 def _hybrid(spark: SparkSession, d: str, mode: str) -> DataFrame:
