@@ -142,6 +142,12 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.recall(found.select("query_id", "id"), gold.select("query_id", "id"))
 
 
+@query("ann_recall_ok", "SELECT count(*) AS queries, true AS recall_ok FROM embeddings WHERE vec_id % 50 = 0")
+def ann_recall_ok(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the mean recall of the hyperplanes is at least 0.9."""
+    return ann_recall(spark, d).agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("recall_ok"))
+
+
 @query("set_intersect_topk", f"SELECT id FROM (SELECT e.vec_id AS id FROM embeddings q, embeddings e WHERE q.vec_id = 5 ORDER BY round(1 - list_cosine_similarity({A}, {B}), 6), e.vec_id LIMIT 40) INTERSECT SELECT id FROM (SELECT e.vec_id AS id FROM embeddings q, embeddings e WHERE q.vec_id = 5 ORDER BY round(-list_inner_product({A}, {B}), 6), e.vec_id LIMIT 40)")
 def set_intersect_topk(spark: SparkSession, d: str) -> DataFrame:
     """Vectors near to one under two metrics."""
@@ -379,6 +385,48 @@ def parse_edges(spark: SparkSession, d: str) -> DataFrame:
     return parsers.edges_of(parsers.units(_files(spark, d)))
 
 
+#: Small files of every kind that is parsed; fixed texts.
+SMALL_FILES = (
+    ("a/lib.rs", "/// Adds.\npub fn add(x: u8) -> u8 {\n    x + 1\n}\n\nimpl Show for Point {\n    pub(crate) async fn show(&self) {\n        if true { add(1); }\n    }\n}\n\npub struct Point { x: u8 }\nenum Kind {\n    A,\n}\n"),
+    ("a/mod.py", "class Store(Base, object):\n    def put(self, k):\n        return k\n\nasync def load(path):\n    return open(path)\n\nx = 1\n"),
+    ("a/ui.ts", "export class View extends Base implements Shown, Sized {\n}\nexport const draw = async (v) => {\n  v.draw();\n}\ninterface Shown {\n}\nfunction main() {\n}\n"),
+    ("doc/read.md", "before\n# First part\n[go](#second--part) ![no](#first-part)\n```\n# not one\n~~~\n[no](#first-part)\n```\n## Second - part\ntext\n# First part\nend\n"),
+    ("doc/plain.txt", "".join(f"line {i}\n" for i in range(1, 61))),
+    ("doc/empty.md", " \n"),
+)
+_SMALL_CHUNKS = """('a/lib.rs', 'symbol:a/lib.rs:add', 1, 4, 'Function', 'add', 'pub fn add(x: u8) -> u8'), ('a/lib.rs', 'symbol:a/lib.rs:Point::show', 7, 9, 'Method', 'Point::show', 'impl Show for Point -> fn show'),
+    ('a/lib.rs', 'symbol:a/lib.rs:Point', 12, 12, 'Struct', 'Point', 'pub struct Point'), ('a/lib.rs', 'symbol:a/lib.rs:Kind', 13, 15, 'Class', 'Kind', 'enum Kind'),
+    ('a/mod.py', 'symbol:a/mod.py:Store', 1, 4, 'Class', 'Store', 'class Store'), ('a/mod.py', 'symbol:a/mod.py:load', 5, 7, 'Function', 'load', 'def load(path)'),
+    ('a/ui.ts', 'symbol:a/ui.ts:View', 1, 2, 'Class', 'View', 'class View'), ('a/ui.ts', 'symbol:a/ui.ts:draw', 3, 5, 'Function', 'draw', 'const draw = () =>'),
+    ('a/ui.ts', 'symbol:a/ui.ts:Shown', 6, 7, 'Interface', 'Shown', 'interface Shown'), ('a/ui.ts', 'symbol:a/ui.ts:main', 8, 9, 'Function', 'main', 'function main'),
+    ('doc/read.md', 'doc:doc/read.md:L1', 1, 1, 'DocSection', 'Introduction', NULL), ('doc/read.md', 'doc:doc/read.md:L2', 2, 8, 'DocSection', 'First part', NULL),
+    ('doc/read.md', 'doc:doc/read.md:L9', 9, 10, 'DocSection', 'Second - part', NULL), ('doc/read.md', 'doc:doc/read.md:L11', 11, 12, 'DocSection', 'First part', NULL),
+    ('doc/plain.txt', 'chunk:doc/plain.txt:1:50', 1, 50, 'Chunk', '', NULL), ('doc/plain.txt', 'chunk:doc/plain.txt:41:60', 41, 60, 'Chunk', '', NULL)"""
+
+
+def _small(spark: SparkSession) -> DataFrame:
+    return parsers.units(spark.createDataFrame(list(SMALL_FILES), "path string, text string"))
+
+
+@query("parse_small", f"SELECT * FROM (VALUES {_SMALL_CHUNKS}) AS t(file_path, node_id, start_line, end_line, kind, name, signature)")
+def parse_small(spark: SparkSession, d: str) -> DataFrame:
+    """What small files of every kind are cut into, against rows written by hand."""
+    return _small(spark).where("has_chunk").select("file_path", "node_id", "start_line", "end_line", "kind", "name", "signature")
+
+
+@query(
+    "parse_small_edges",
+    f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY start_line) AS r FROM (VALUES {_SMALL_CHUNKS}) AS t(file_path, node_id, start_line, end_line, kind, name, signature))
+    SELECT 'file:' || file_path AS source, node_id AS target, 'Contains' AS kind FROM c UNION ALL SELECT a.node_id, b.node_id, 'NextChunk' FROM c a JOIN c b ON a.file_path = b.file_path AND b.r = a.r + 1
+    UNION ALL SELECT * FROM (VALUES ('file:a/lib.rs', 'symbol:a/lib.rs:impl_Show_for_Point', 'Contains'), ('symbol:a/lib.rs:impl_Show_for_Point', 'symbol:a/lib.rs:Point::show', 'Defines'),
+        ('symbol:a/lib.rs:Point', 'symbol:Show', 'Implements'), ('symbol:a/lib.rs:Point::show', 'symbol:Show::show', 'Implements'), ('symbol:a/mod.py:Store', 'symbol:Base', 'Implements'),
+        ('symbol:a/ui.ts:View', 'symbol:Base', 'Implements'), ('symbol:a/ui.ts:View', 'symbol:Shown', 'Implements'), ('symbol:a/ui.ts:View', 'symbol:Sized', 'Implements'), ('doc:doc/read.md:L2', 'doc:doc/read.md:L9', 'LinksTo'))""",
+)
+def parse_small_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The links between them."""
+    return parsers.edges_of(_small(spark)).select("source", "target", "kind")
+
+
 @query("index_pipeline")
 def index_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Files to chunks, nodes, links and terms: what one indexing run stores."""

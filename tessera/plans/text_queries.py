@@ -176,10 +176,14 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.hash_buckets(_chunks(spark, d)).select("id", "bucket", F.round("value", 6).alias("value"))
 
 
-@query("hash_embed_dense")
+@query(
+    "hash_embed_dense",
+    f"""WITH {CH}, {EMB.format(src='ch', ident='id', text='content')}, g AS (SELECT id, unnest(range(256)) AS bucket FROM ch)
+    SELECT g.id, list(round(coalesce(v.value, 0), 5) + 0.0 ORDER BY g.bucket) AS vector FROM g LEFT JOIN ch_v v ON v.id = g.id AND v.bucket = g.bucket GROUP BY g.id""",
+)
 def hash_embed_dense(spark: SparkSession, d: str) -> DataFrame:
     """The vectors in full."""
-    return retrieval.hash_embed(_chunks(spark, d))
+    return retrieval.hash_embed(_chunks(spark, d)).select("id", F.transform("vector", lambda x: F.round(x, 5) + F.lit(0.0)).alias("vector"))
 
 
 @query(
