@@ -28,8 +28,9 @@ from ..session import materialize
 DIMS = {"Text": 64, "Code": 64, "BinaryFingerprint": 256}
 K_NEIGHBOURS = 10
 #: Vectors of a space that its centroids are fitted on at most (smallest hashes), most centroids of
-#: a half, vectors of a cell on average, vectors that a cell's visit has to reach, vectors of a block's part.
-SAMPLE, MOST_CENTROIDS, CELL_ROWS, REACH, PART_ROWS = 20_000, 1024, 16, 4000, 20_000
+#: a half, vectors of a cell on average, vectors that a cell's visit has to reach, vectors of a block's part,
+#: and vectors sent to it that one task compares.
+SAMPLE, MOST_CENTROIDS, CELL_ROWS, REACH, PART_ROWS, SHARE_ROWS = 20_000, 1024, 16, 4000, 40_000, 12_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -201,7 +202,7 @@ def nearest(
     # parts of a block: a share of its entries, against a share of the vectors sent to it
     held = placed.groupBy("block").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     per_cell = placed.groupBy("s", "cell").agg(F.count("*").alias("c"))
-    sent = routes.join(per_cell, ["s", "cell"]).groupBy(F.col("to").alias("block")).agg(F.ceil(F.sum("c") / (PART_ROWS * 2)).cast("int").alias("shares"))
+    sent = routes.join(per_cell, ["s", "cell"]).groupBy(F.col("to").alias("block")).agg(F.ceil(F.sum("c") / SHARE_ROWS).cast("int").alias("shares"))
     size = materialize(held.join(sent, "block"), "blocks")
     part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -230,6 +231,7 @@ def nearest(
             low = a.column("low").combine_chunks()
             order = pa.compute.sort_indices(low).to_numpy()
             a = a.take(pa.array(order))
+            low_ids = a.column("low").combine_chunks()
             base = _unit(_matrix(a.column("vector").combine_chunks()))
             keys, cell = a.column("key").to_numpy(), a.column("cell").to_numpy()
             by = np.argsort(cell, kind="stable")
@@ -257,10 +259,20 @@ def nearest(
                     value = np.take_along_axis(cos, top, 1)
                     good = value > -(10**7)
                     rr, _ = np.nonzero(good)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_keys[m][rr]), pa.array(keys[cand[top[good]]]), pa.array(value[good] / 1e6)], ["key", "other", "cosine"])
+                    hit = cand[top[good]]
+                    own_space = pa.array(np.full(len(rr), key[0].as_py() % 64, np.int32))
+                    yield pa.RecordBatch.from_arrays([own_space, pa.array(q_keys[m][rr]), pa.array(keys[hit]), low_ids.take(pa.array(hit)), pa.array(value[good] / 1e6)], ["s", "key", "other", "low", "cosine"])
 
     work = own.unionByName(asked).unionByName(ways)
-    near = work.groupBy("block", "part", "share").applyInArrow(rank, "key bigint, other bigint, cosine double")
+    near = work.groupBy("block", "part", "share").applyInArrow(rank, f"s int, key bigint, other bigint, low {id_type}, cosine double")
+    # each entry has one id at least, so the best k ids are of the best k entries by their smallest ids
+    w = Window.partitionBy("s", "key").orderBy(F.desc("cosine"), "low")
+    near = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    if number:
+        names = F.create_map(*(F.lit(x) for n, i in number.items() for x in (i, n)))
+        near = near.select(names[F.col("s")].alias("space"), "key", "other", "cosine")
+    else:
+        near = near.select(F.lit(None).cast("string").alias("space"), "key", "other", "cosine")
     return _expand(rows, entries, near, k)
 
 
@@ -272,7 +284,7 @@ def _spans(x: np.ndarray) -> tuple[list, list, list]:
 def _expand(rows: DataFrame, entries: DataFrame, near: DataFrame, k: int) -> DataFrame:
     """From neighbours of entries to neighbours of ids."""
     by_key = entries.select("space", "key", "ids")
-    others = near.join(by_key.select(F.col("key").alias("other"), "ids", "space"), "other").select("space", "key", "cosine", F.explode("ids").alias("neighbour"))
+    others = near.join(by_key.select(F.col("key").alias("other"), "ids", "space"), ["space", "other"]).select("space", "key", "cosine", F.explode("ids").alias("neighbour"))
     copies = by_key.where(F.size("ids") > 1).select("space", "key", F.lit(1.0).alias("cosine"), F.explode("ids").alias("neighbour"))
     w = Window.partitionBy("space", "key").orderBy(F.desc("cosine"), "neighbour")
     best = others.unionByName(copies).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).drop("r")

@@ -31,6 +31,8 @@ MIN_CHARS = 150
 #: Characters an anchor hashes; characters of differing and of all reference text in a shard, and of
 #: streamed text in a task.
 ANCHOR, SHARD_CHARS, MOST_SHARD_CHARS, STREAM_CHARS = 100, 60_000, 400_000, 400_000
+#: Groups of a task on average, and most tasks of the automata.
+GROUPS_A_TASK, MOST_TASKS = 2, 50_000
 _LOW = (1 << 24) - 1
 _SEGMENT = 1 << 19
 
@@ -283,12 +285,15 @@ def _matched(docs: DataFrame, min_chars: int, k: int, pairs: bool) -> DataFrame:
     )
     near = shared.select("fp", "anchor").distinct()
     holds = near.join(home.select("fp", "shard"), "fp").select("anchor", "shard").distinct()
-    route = near.join(holds, "anchor").select("fp", "shard").distinct()
-    load = route.join(home.select("fp", "chars"), "fp").groupBy("shard").agg(F.ceil(F.sum("chars") / STREAM_CHARS).cast("int").alias("blocks"))
+    route = materialize(near.join(holds, "anchor").select("fp", "shard").distinct(), "route")
+    load = materialize(route.join(home.select("fp", "chars"), "fp").groupBy("shard").agg(F.ceil(F.sum("chars") / STREAM_CHARS).cast("int").alias("blocks")), "load")
     streams = route.join(load, "shard").select("fp", "shard", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_ref"))
     refs = home.join(load, "shard").select("fp", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_ref"))
     # a text at home in the block's shard is both reference and stream; it comes as two rows
     work = refs.unionByName(streams).join(stretches.select("fp", "at", "stretch"), "fp")
+    # one partition for a few groups each: merging small ones by bytes would give all automata to a few tasks
+    tasks = load.agg(F.sum("blocks")).first()[0] or 1
+    work = work.repartition(max(1, min(MOST_TASKS, -(-tasks // GROUPS_A_TASK))), "shard", "block")
     return work.groupBy("shard", "block").applyInArrow(_match(min_chars, pairs), "fp bigint, other bigint" if pairs else "fp bigint, start bigint, end bigint")
 
 
