@@ -48,9 +48,10 @@ def parent_links(edges: DataFrame, parent_kinds: tuple[str, ...] = ("contains",)
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Follow the parents of one partition's links.
 
-    In: child, parent, steps, low (the smallest id on the way, child included).
-    Out: child, exit, steps, low, looped; for a looped row ``exit`` is the loop's
-    smallest id, and so is ``low``.
+    In: child, parent, steps, low (the smallest id on the way, child included),
+    and the way if it is wanted: the ids from below the parent down to the child.
+    Out: child, exit, steps, low, looped, and the way from the exit; for a looped
+    row ``exit`` is the loop's smallest id, and so is ``low``, and its way is empty.
     """
     held_rows = [b for b in batches if b.num_rows]
     if not held_rows:
@@ -67,8 +68,8 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of_rank = np.argsort(rank)
     m = len(words)
     # over all names: where to, how far, the smallest rank on the way
-    nxt, dist, least = np.arange(m), np.zeros(m, np.int64), np.full(m, m, np.int64)
-    nxt[c], dist[c], least[c] = p, t.column("steps").to_numpy(), low
+    nxt, dist, least, hops = np.arange(m), np.zeros(m, np.int64), np.full(m, m, np.int64), np.zeros(m, np.int64)
+    nxt[c], dist[c], least[c], hops[c] = p, t.column("steps").to_numpy(), low, 1
     held = np.zeros(m, bool)
     held[c] = True
     for _ in range(max(1, int(m).bit_length())):
@@ -76,6 +77,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not move.any():
             break
         new_dist, new_least, new_next = dist + np.where(move, dist[nxt], 0), np.where(move, np.minimum(least, least[nxt]), least), np.where(move, nxt[nxt], nxt)
+        hops = hops + np.where(move, hops[nxt], 0)
         dist, least, nxt = new_dist, new_least, new_next
     # after 2**k steps whoever has not left never will; its way then holds the whole loop
     looped = held & held[nxt]
@@ -86,12 +88,38 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loop_low[on] = least[on]
         least = np.where(looped, loop_low[nxt], least)
         nxt = np.where(looped, of_rank[np.minimum(least, m - 1)], nxt)
-    yield pa.RecordBatch.from_arrays(
-        [child, words.take(pa.array(nxt[c])), pa.array(dist[c]), words.take(pa.array(of_rank[least[c]])), pa.array(looped[c])], ["child", "exit", "steps", "low", "looped"]
-    )
+    out = [child, words.take(pa.array(nxt[c])), pa.array(dist[c]), words.take(pa.array(of_rank[least[c]])), pa.array(looped[c])]
+    names = ["child", "exit", "steps", "low", "looped"]
+    if "way" not in t.column_names:
+        yield pa.RecordBatch.from_arrays(out, names)
+        return
+    column = t.column("way").combine_chunks()
+    start, flat = column.offsets.to_numpy(), column.values
+    way: dict[int, np.ndarray] = {}
+    order = np.argsort(hops[c], kind="stable")
+    order = order[~looped[c][order]]
+    for i in order.tolist():
+        own = np.arange(start[i], start[i + 1])
+        up = way.get(int(p[i]))
+        way[int(c[i])] = own if up is None else np.concatenate((up, own))
+    # rows go out in slices, as their ways may be long
+    none = np.empty(0, np.int64)
+    ways = [way.get(int(x), none) for x in c]
+    at = 0
+    while at < n:
+        to, size = at, 0
+        while to < n and (to == at or size + len(ways[to]) <= _WAY_IDS):
+            size += len(ways[to])
+            to += 1
+        offsets = np.concatenate(([0], np.cumsum([len(w) for w in ways[at:to]]))).astype(np.int32)
+        made = pa.ListArray.from_arrays(pa.array(offsets), flat.take(pa.array(np.concatenate(ways[at:to]))))
+        yield pa.RecordBatch.from_arrays([*(x.slice(at, to - at) for x in out), made], [*names, "way"])
+        at = to
 
 
 _CONTRACTED = "child string, exit string, steps bigint, low string, looped boolean"
+#: Ids of ways that leave a task at once.
+_WAY_IDS = 500_000
 
 
 def _step(links: DataFrame, parts: int, locality: bool, block_links: int) -> DataFrame:
@@ -101,35 +129,40 @@ def _step(links: DataFrame, parts: int, locality: bool, block_links: int) -> Dat
     symbols meet; places of more than ``block_links`` links are split by a salt of
     the id, in proportion to their size. Later rounds place by id alone.
     """
-    src = links.select("child", "parent", "steps", "low")
+    ways = ["way"] if "way" in links.columns else []
+    src = links.select("child", "parent", "steps", "low", *ways)
     if parts == 1:
         placed = src.coalesce(1)
     elif locality:
         src = src.withColumn("place", F.xxhash64(F.regexp_replace("child", "^[A-Za-z_]+:|/[^/]*$", "")))
         large = src.groupBy("place").agg(F.count("*").alias("c")).where(F.col("c") > block_links)
         split = F.pmod(F.xxhash64("child"), F.ceil(F.coalesce("c", F.lit(1)) / F.lit(block_links)))
-        placed = src.join(large, "place", "left").withColumn("salt", split).repartition(parts, "place", "salt").select("child", "parent", "steps", "low")
+        placed = src.join(large, "place", "left").withColumn("salt", split).repartition(parts, "place", "salt").select("child", "parent", "steps", "low", *ways)
     else:
         placed = src.repartition(parts, "child")
-    return placed.mapInArrow(_contract, _CONTRACTED)
+    return placed.mapInArrow(_contract, _CONTRACTED + (", way array<string>" if ways else ""))
 
 
-def resolve_roots(links: DataFrame, block_links: int = BLOCK_LINKS) -> DataFrame:
+def resolve_roots(links: DataFrame, block_links: int = BLOCK_LINKS, paths: bool = False) -> DataFrame:
     """``(node_id, root_id, depth)`` for each node of ``links(child, parent)``, each child once.
 
     A root has itself and 0. A node on a loop or below one has the smallest id on
-    the loop and -1. No links give no rows.
+    the loop and -1. No links give no rows. ``paths`` adds ``path_ids``, the ids
+    from the root down to the node; of a node on or below a loop its own alone.
+    The ways within fragments are carried back along with roots and depths.
     """
-    first = links.select("child", "parent", F.lit(1).cast("bigint").alias("steps"), F.col("child").alias("low"))
+    first = links.select("child", "parent", F.lit(1).cast("bigint").alias("steps"), F.col("child").alias("low"), *([F.array("child").alias("way")] if paths else []))
     first = materialize(first, "links")
+    ways = ["way"] if paths else []
     left = total = first.count()
     rounds: list[DataFrame] = []
     cur, solved = first, None
+    down = lambda top: [F.when(F.col("looped"), F.array("child")).otherwise(F.concat(top, "way")).alias("path_ids")] if paths else []
     while True:
         parts = -(-left // block_links)
         done = _step(cur, max(1, parts), not rounds, block_links)
         if parts <= 1:
-            solved = done.select("child", F.col("exit").alias("root"), F.when(F.col("looped"), -1).otherwise(F.col("steps")).alias("depth"))
+            solved = done.select("child", F.col("exit").alias("root"), F.when(F.col("looped"), -1).otherwise(F.col("steps")).alias("depth"), *down(F.array("exit")))
             break
         done = materialize(done, f"round{len(rounds)}")
         rounds.append(done)
@@ -137,7 +170,7 @@ def resolve_roots(links: DataFrame, block_links: int = BLOCK_LINKS) -> DataFrame
         exits = done.where("not looped").select(F.col("exit").alias("child")).distinct()
         cur = materialize(
             done.join(exits, "child", "left_semi").select(
-                "child", F.when(F.col("looped"), F.col("child")).otherwise(F.col("exit")).alias("parent"), F.when(F.col("looped"), 1).otherwise(F.col("steps")).alias("steps"), "low"
+                "child", F.when(F.col("looped"), F.col("child")).otherwise(F.col("exit")).alias("parent"), F.when(F.col("looped"), 1).otherwise(F.col("steps")).alias("steps"), "low", *ways
             ),
             "quotient",
         )
@@ -147,21 +180,24 @@ def resolve_roots(links: DataFrame, block_links: int = BLOCK_LINKS) -> DataFrame
             cur = materialize(_jump(cur, len(rounds)), "jumped")
         left = now
         if left == 0:
-            solved = done.sparkSession.createDataFrame([], "child string, root string, depth bigint")
+            solved = done.sparkSession.createDataFrame([], "child string, root string, depth bigint" + (", path_ids array<string>" if paths else ""))
             break
     for done in reversed(rounds):
-        known = solved.toDF("exit", "up_root", "up_depth")
+        known = solved.toDF("exit", "up_root", "up_depth", *(["up_path"] if paths else []))
+        lost = F.col("looped") | F.coalesce(F.col("up_depth") < 0, F.lit(False))
         solved = (
             done.join(known, "exit", "left")
             .select(
                 "child",
                 F.when(F.col("looped"), F.col("exit")).otherwise(F.coalesce("up_root", "exit")).alias("root"),
-                F.when(F.col("looped") | (F.col("up_depth") < 0), F.lit(-1)).otherwise(F.col("steps") + F.coalesce("up_depth", F.lit(0))).cast("bigint").alias("depth"),
+                F.when(lost, F.lit(-1)).otherwise(F.col("steps") + F.coalesce("up_depth", F.lit(0))).cast("bigint").alias("depth"),
+                *([F.when(lost, F.array("child")).otherwise(F.concat(F.coalesce("up_path", F.array("exit")), "way")).alias("path_ids")] if paths else []),
             )
         )
     solved = materialize(solved, "solved") if total else solved
-    roots = links.select(F.col("parent").alias("child")).distinct().join(links.select("child"), "child", "left_anti").select(F.col("child"), F.col("child").alias("root"), F.lit(0).cast("bigint").alias("depth"))
-    return solved.unionByName(roots).toDF("node_id", "root_id", "depth")
+    top = F.col("child")
+    roots = links.select(F.col("parent").alias("child")).distinct().join(links.select("child"), "child", "left_anti").select(top, top.alias("root"), F.lit(0).cast("bigint").alias("depth"), *([F.array("child").alias("path_ids")] if paths else []))
+    return solved.unionByName(roots).toDF("node_id", "root_id", "depth", *(["path_ids"] if paths else []))
 
 
 def _jump(links: DataFrame, salt: int) -> DataFrame:
@@ -170,8 +206,9 @@ def _jump(links: DataFrame, salt: int) -> DataFrame:
     On a chain or a loop a quarter of the nodes so lose their only child, and drop
     out of the next quotient; a loop may shrink to a link of a node to itself.
     """
+    ways = "way" in links.columns
     heads = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(salt)), F.lit(2)) == 1
-    up = links.where("child <> parent").select(F.col("child").alias("parent"), F.col("parent").alias("over"), F.col("steps").alias("more"), F.col("low").alias("low2"))
+    up = links.where("child <> parent").select(F.col("child").alias("parent"), F.col("parent").alias("over"), F.col("steps").alias("more"), F.col("low").alias("low2"), *([F.col("way").alias("way2")] if ways else []))
     j = links.join(up, "parent", "left")
     go = F.col("over").isNotNull() & heads("child") & ~heads("parent")
     return j.select(
@@ -179,41 +216,28 @@ def _jump(links: DataFrame, salt: int) -> DataFrame:
         F.when(go, F.col("over")).otherwise(F.col("parent")).alias("parent"),
         F.when(go, F.col("steps") + F.col("more")).otherwise(F.col("steps")).alias("steps"),
         F.when(go, F.least("low", "low2")).otherwise(F.col("low")).alias("low"),
+        *([F.when(go, F.concat("way2", "way")).otherwise(F.col("way")).alias("way")] if ways else []),
     )
 
 
-def ancestor_pairs(links: DataFrame, resolved: DataFrame, max_rounds: int = 64) -> DataFrame:
+def ancestor_pairs(links: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """``(node_id, ancestor_id, distance)`` of every node of a tree, itself at 0; nodes on or below loops have only themselves.
 
-    Doubles the reach in each round, so a depth d takes log2(d) rounds. The result
-    holds the sum of all depths, which is what all descendants of all nodes are.
+    The result holds the sum of all depths, which is what all descendants of all
+    nodes are; it comes from the paths, without a join by ancestor. ``resolved`` may
+    hold the paths already.
     """
-    ok = resolved.where("depth >= 0").select("node_id")
-    clean = links.join(ok.toDF("child"), "child", "left_semi")
-    hop = materialize(clean.select(F.col("child").alias("node_id"), F.col("parent").alias("ancestor_id"), F.lit(1).cast("bigint").alias("distance")), "hop")
-    found = hop
-    for _ in range(max_rounds):
-        # pairs of distance 1..r; joined with pairs of distance exactly r they give r+1..2r
-        reach = found.agg(F.max("distance")).first()[0]
-        if reach is None:
-            break
-        far = found.where(F.col("distance") == reach).toDF("node_id", "mid", "d1")
-        more = far.join(found.toDF("mid", "ancestor_id", "d2"), "mid").select("node_id", "ancestor_id", (F.col("d1") + F.col("d2")).alias("distance"))
-        grown = materialize(found.unionByName(more), "reach")
-        if grown.agg(F.max("distance")).first()[0] == reach:
-            break
-        found = grown
-    return resolved.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).cast("bigint").alias("distance")).unionByName(found)
+    p = resolved if resolved is not None and "path_ids" in resolved.columns else resolve_roots(links, paths=True)
+    at = p.select("node_id", F.size("path_ids").alias("n"), F.posexplode("path_ids").alias("pos", "ancestor_id"))
+    return at.select("node_id", "ancestor_id", (F.col("n") - 1 - F.col("pos")).cast("bigint").alias("distance"))
 
 
-def full_paths(links: DataFrame, resolved: DataFrame, separator: str = " > ") -> DataFrame:
+def full_paths(links: DataFrame, resolved: DataFrame | None = None, separator: str = " > ") -> DataFrame:
     """``(node_id, path, path_ids, depth, root_id, is_cyclic)``: the ids from the root down to the node."""
-    pairs = ancestor_pairs(links, resolved)
-    ways = pairs.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor_id"))).alias("w"))
-    ids = F.transform("w", lambda x: x["ancestor_id"])
-    return resolved.join(ways, "node_id").select("node_id", F.concat_ws(separator, ids).alias("path"), ids.alias("path_ids"), "depth", "root_id", (F.col("depth") < 0).alias("is_cyclic"))
+    p = resolved if resolved is not None and "path_ids" in resolved.columns else resolve_roots(links, paths=True)
+    return p.select("node_id", F.concat_ws(separator, "path_ids").alias("path"), "path_ids", "depth", "root_id", (F.col("depth") < 0).alias("is_cyclic"))
 
 
-def descendant_counts(links: DataFrame, resolved: DataFrame) -> DataFrame:
+def descendant_counts(links: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """``(node_id, descendants, height)`` of each node; leaves have 0."""
     return ancestor_pairs(links, resolved).groupBy(F.col("ancestor_id").alias("node_id")).agg((F.count("*") - 1).alias("descendants"), F.max("distance").alias("height"))

@@ -65,7 +65,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     """Full path of each node, loops flagged."""
     links = _links(spark, d)
-    return hierarchy.full_paths(links, hierarchy.resolve_roots(links))
+    return hierarchy.full_paths(links)
 
 
 @query(
@@ -76,7 +76,7 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Each node of a tree with each of its ancestors, hence all descendants of each node."""
     links = _links(spark, d)
-    return hierarchy.ancestor_pairs(links, hierarchy.resolve_roots(links))
+    return hierarchy.ancestor_pairs(links)
 
 
 @query("node_lookup", f"WITH {ND} SELECT id, label, kind, file_path FROM nd WHERE chunk_id IS NOT NULL AND vector_id IS NOT NULL")

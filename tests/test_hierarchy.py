@@ -53,3 +53,25 @@ def test_paths_descendants(spark):
     paths = {r["node_id"]: (r["path"], r["is_cyclic"]) for r in H.full_paths(links, roots).collect()}
     assert paths["c"] == ("a > b > c", False) and paths["a"] == ("a", False) and paths["x"] == ("x", True)
     assert {r["node_id"]: r["descendants"] for r in H.descendant_counts(links, roots).collect()}["a"] == 3
+
+
+@pytest.mark.parametrize("block", [200_000, 23])
+def test_paths_come_back_with_the_fragments(spark, block):
+    rnd = random.Random(block)
+    names = [f"symbol:r{i % 3}/d/n{i}" for i in range(80)]
+    parent = {x: rnd.choice(names[max(0, i - 3) : i]) for i, x in enumerate(names) if i and rnd.random() < 0.95}
+    parent |= {f"c{i:03}": f"c{i + 1:03}" for i in range(90)} | {f"l{i}": f"l{(i + 1) % 9}" for i in range(9)} | {"below": "l3", "lower": "below"}
+    df = spark.createDataFrame(list(parent.items()), "child string, parent string")
+    got = H.resolve_roots(df, block, paths=True)
+    roots = brute(parent)
+
+    def path(x):
+        out = [x]
+        while roots[x][1] >= 0 and out[-1] in parent:
+            out.append(parent[out[-1]])
+        return out[::-1]
+
+    rows = got.collect()
+    assert {r["node_id"]: r["path_ids"] for r in rows} == {x: path(x) for x in roots}
+    assert {r["node_id"]: (r["root_id"], r["depth"]) for r in rows} == roots
+    assert {tuple(r) for r in H.ancestor_pairs(df, got).collect()} == {(x, y, len(p) - 1 - k) for x in roots for p in [path(x)] for k, y in enumerate(p)}
