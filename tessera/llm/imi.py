@@ -30,7 +30,7 @@ K_NEIGHBOURS = 10
 #: Vectors of a space that its centroids are fitted on at most (smallest hashes), most centroids of
 #: a half, vectors of a cell on average, vectors that a cell's visit has to reach, vectors of a block's part,
 #: and vectors sent to it that one task compares.
-SAMPLE, MOST_CENTROIDS, CELL_ROWS, REACH, PART_ROWS, SHARE_ROWS = 20_000, 1024, 16, 4000, 40_000, 12_000
+SAMPLE, MOST_CENTROIDS, CELL_ROWS, REACH, PART_ROWS, SHARE_ROWS = 20_000, 1024, 16, 4000, 40_000, 24_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -33,6 +33,8 @@ MIN_CHARS = 150
 ANCHOR, SHARD_CHARS, MOST_SHARD_CHARS, STREAM_CHARS = 100, 60_000, 400_000, 400_000
 #: Groups of a task on average, and most tasks of the automata.
 GROUPS_A_TASK, MOST_TASKS = 2, 50_000
+#: Texts of an anchor from which spans are counted and not matched text by text.
+CROWD = 500
 _LOW = (1 << 24) - 1
 _SEGMENT = 1 << 19
 
@@ -237,13 +239,75 @@ def _match(min_chars: int, pairs: bool):
     return f
 
 
+def _window_hashes(text: np.ndarray, min_chars: int) -> np.ndarray:
+    """A hash of each run of ``min_chars`` characters."""
+    p, inv = K.powers(len(text) + 1)
+    c = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(K.mix(text.astype(np.uint64) + K.U(1)) * p[:-1], out=c[1:])
+    n = len(text) - min_chars + 1
+    return K.mix((c[min_chars:] - c[:-min_chars]) * inv[:n])
+
+
+def _crowded(src: DataFrame, shared: DataFrame, min_chars: int, k: int) -> DataFrame:
+    """Spans ``(fp, start, end)`` around anchors of very many texts, by counting the runs that hold them.
+
+    Against each other these texts would cost the square of their number. A run
+    that two of them share has its anchor in common, so it is counted for both: a
+    run's hash, with the anchor's, counts in each task first, and what comes from
+    several texts goes back to the texts that hold it.
+    """
+    spots = shared.groupBy("fp").agg(F.collect_list(F.struct("anchor", "p0", "p1")).alias("spots"))
+    texts = spots.join(src.mapInArrow(_once, "fp bigint, text string"), "fp").select("fp", "spots", "text").dropDuplicates(["fp"])
+    margin = min_chars - k
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.slices(batches, "text", 1 << 21):
+            out: list[list] = [[], [], [], []]
+            for fp, at, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                h = _window_hashes(K.code_points(text), min_chars)
+                for s in at:
+                    a, z = max(0, s["p0"] - margin), min(len(h), s["p1"] + 1)
+                    if z > a:
+                        own = h[a:z]
+                        out[0].append(np.full(len(own), fp))
+                        out[1].append(np.arange(a, z))
+                        out[2].append(np.full(len(own), s["anchor"]))
+                        out[3].append(own.view(np.int64))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["fp", "at", "anchor", "run"])
+
+    runs = materialize(texts.mapInArrow(cut, "fp bigint, at bigint, anchor bigint, run bigint"), "runs")
+    several = runs.groupBy("anchor", "run").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("anchor", "run")
+    hit = runs.join(several, ["anchor", "run"], "left_semi").select("fp", "at").distinct()
+    # runs at neighbouring places make one span
+    w = Window.partitionBy("fp").orderBy("at")
+    first = hit.withColumn("new", F.coalesce((F.col("at") - F.lag("at").over(w) > min_chars).cast("int"), F.lit(1))).withColumn("g", F.sum("new").over(w))
+    return first.groupBy("fp", "g").agg(F.min("at").alias("start"), (F.max("at") + min_chars).alias("end")).select("fp", "start", "end")
+
+
 def _matched(docs: DataFrame, min_chars: int, k: int, pairs: bool) -> DataFrame:
-    """By hash of text either ``(fp, other)``, ``fp < other``, or the spans ``(fp, start, end)``."""
+    """By hash of text either ``(fp, other)``, ``fp < other``, or the spans ``(fp, start, end)``.
+
+    Pairs of texts are listed whole, so each meets each that shares an anchor. For
+    spans an anchor of more than CROWD texts is counted instead.
+    """
     src = docs.select(F.xxhash64("text").alias("fp"), "text").where(F.length("text") >= min_chars)
     found = src.mapInArrow(_anchor_runs(min_chars, k), "anchor bigint, fp bigint, p0 bigint, p1 bigint")
     # an anchor of several texts; copies of a text count once
     several = found.groupBy("anchor").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("anchor")
     shared = materialize(found.join(several, "anchor").groupBy("fp", "anchor", "p0").agg(F.max("p1").alias("p1")), "anchors")
+    if pairs:
+        return _automata(src, shared, min_chars, k, True)
+    # at most as many as places of anchors / CROWD
+    crowd = materialize(shared.groupBy("anchor").agg(F.approx_count_distinct("fp").alias("m")).where(F.col("m") > CROWD).select("anchor"), "crowd")
+    if crowd.isEmpty():
+        return _automata(src, shared, min_chars, k, False)
+    few = materialize(shared.join(crowd, "anchor", "left_anti"), "few")
+    return _automata(src, few, min_chars, k, False).unionByName(_crowded(src, shared.join(crowd, "anchor", "left_semi"), min_chars, k))
+
+
+def _automata(src: DataFrame, shared: DataFrame, min_chars: int, k: int, pairs: bool) -> DataFrame:
+    """The same for the texts ``(fp, text)`` and their anchors ``(fp, anchor, p0, p1)``, by shards."""
     runs = shared.groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("p0", "p1"))).alias("runs"), F.min("anchor").alias("home"))
     margin = min_chars - k
 

@@ -97,3 +97,13 @@ def test_anchors_of_long_texts_agree(monkeypatch):
     a = S.anchors(K.code_points("".join(rnd.choice("xyz") for _ in range(700)) + p))[0]
     b = S.anchors(K.code_points(p + "q" * 500))[0]
     assert np.intersect1d(a, b).size
+
+
+def test_crowded_anchors_give_the_same_spans(spark, monkeypatch):
+    rows = docs(11, 60) + [(100, "".join(chr(97 + i % 3) for i in range(400))), (101, "ab" * 300), (102, "ab" * 200 + "x")]
+    spans = lambda: {tuple(r) for r in S.shared_spans(frame(spark, rows)).collect()}
+    want = spans()
+    assert want
+    for crowd in (1, 4):
+        monkeypatch.setattr(S, "CROWD", crowd)
+        assert spans() == want
