@@ -36,6 +36,8 @@ GROUPS_A_TASK, MOST_TASKS = 2, 50_000
 #: Texts of an anchor from which spans are counted and not matched text by text.
 CROWD = 500
 _LOW = (1 << 24) - 1
+#: Bits for the length of a run of places.
+_RUN = 31
 _SEGMENT = 1 << 19
 
 
@@ -94,9 +96,10 @@ def _anchor_runs(min_chars: int, k: int):
                 new[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1] + 1)
                 s = np.flatnonzero(new)
                 e = np.append(s[1:], len(h)) - 1
-                out.append((h[s].view(np.int64), np.full(len(s), fp), p[s], p[e]))
+                # first place and length of the run in one number, as these rows are what is shuffled
+                out.append((h[s].view(np.int64), np.full(len(s), fp), p[s] << _RUN | (p[e] - p[s])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["anchor", "fp", "p0", "p1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["anchor", "fp", "run"])
 
     return f
 
@@ -292,10 +295,12 @@ def _matched(docs: DataFrame, min_chars: int, k: int, pairs: bool) -> DataFrame:
     spans an anchor of more than CROWD texts is counted instead.
     """
     src = docs.select(F.xxhash64("text").alias("fp"), "text").where(F.length("text") >= min_chars)
-    found = src.mapInArrow(_anchor_runs(min_chars, k), "anchor bigint, fp bigint, p0 bigint, p1 bigint")
+    found = src.mapInArrow(_anchor_runs(min_chars, k), "anchor bigint, fp bigint, run bigint")
     # an anchor of several texts; copies of a text count once
     several = found.groupBy("anchor").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("anchor")
-    shared = materialize(found.join(several, "anchor").groupBy("fp", "anchor", "p0").agg(F.max("p1").alias("p1")), "anchors")
+    p0 = F.shiftright("run", _RUN)
+    both = found.join(several, "anchor").select("fp", "anchor", p0.alias("p0"), (p0 + F.col("run").bitwiseAND(F.lit((1 << _RUN) - 1))).alias("p1"))
+    shared = materialize(both.groupBy("fp", "anchor", "p0").agg(F.max("p1").alias("p1")), "anchors")
     if pairs:
         return _automata(src, shared, min_chars, k, True)
     # at most as many as places of anchors / CROWD
