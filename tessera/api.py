@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import vectors as V
 from .operators import bm25, cochange, evaluate, graph, passes, retrieval, updates
-from .session import get_session, materialize, ship
+from .session import get_session, materialize, outside, scratch, ship
 from .sources import files, parsers
 from .streaming import watch
 
@@ -135,15 +135,17 @@ class Engine:
 
         ``given(id, vector)`` are vectors of chunks, in place of made ones.
         """
-        t = self._read(root)
-        self._finish(t["chunks"], t["nodes"], t["edges"], t["files"], root, given=given)
+        with scratch(self.spark):
+            t = self._read(root)
+            self._finish(t["chunks"], t["nodes"], t["edges"], t["files"], root, given=given)
         return self.stats()
 
     def rebuild(self) -> None:
         """Make postings and features of all chunks anew, as for versions that were stored without; given vectors stay."""
         given = self.tables["features"].where("space = 'BinaryFingerprint'").select("id", "vector")
-        postings, features = self._derived(self.tables["chunks"], self.tables["nodes"], given)
-        self._save({k: self.tables[k] for k in ("chunks", "nodes", "edges", "files")} | {"postings": postings, "features": features})
+        with scratch(self.spark):
+            postings, features = self._derived(self.tables["chunks"], self.tables["nodes"], given)
+            self._save({k: self.tables[k] for k in ("chunks", "nodes", "edges", "files")} | {"postings": postings, "features": features})
 
     def purge_non_text(self) -> list[str]:
         """Take out files that an older version holds though they are no text; returns their paths."""
@@ -161,7 +163,8 @@ class Engine:
         nodes, edges = graph.remove_file(self.tables["nodes"], self.tables["edges"], gone)
         ids = self.tables["chunks"].join(gone, "file_path", "left_semi").select("id")
         keep = {"chunks": updates.remove_by(self.tables["chunks"], gone), "nodes": nodes, "edges": edges, "files": self.tables["files"].join(gone.toDF("path"), "path", "left_anti")}
-        self._save(keep | {t: self.tables[t].join(ids, "id", "left_anti") for t in ("postings", "features")})
+        with scratch(self.spark):
+            self._save(keep | {t: self.tables[t].join(ids, "id", "left_anti") for t in ("postings", "features")})
 
     def refresh(self, root: str = ".") -> DataFrame:
         """Read what changed since the last version; the result equals a full run. Returns the changes."""
@@ -169,14 +172,15 @@ class Engine:
         diff = materialize(updates.snapshot_diff(self.tables["files"], now), "changes")
         if diff.isEmpty():
             return diff
-        fresh = self._read(root, diff.where("change <> 'delete'").select("path"))
-        gone = diff.select(F.col("path").alias("file_path"))
-        nodes, edges = graph.remove_file(self.tables["nodes"], self.tables["edges"], gone)
-        old = updates.remove_by(self.tables["chunks"], gone)
-        self._finish(
-            old.drop("vector_id").unionByName(fresh["chunks"]), nodes.unionByName(fresh["nodes"]),
-            edges.select("source", "target", "kind", "weight").unionByName(fresh["edges"]), materialize(now, "stamps"), root, kept=old.select("id"),
-        )
+        with scratch(self.spark):
+            fresh = self._read(root, diff.where("change <> 'delete'").select("path"))
+            gone = diff.select(F.col("path").alias("file_path"))
+            nodes, edges = graph.remove_file(self.tables["nodes"], self.tables["edges"], gone)
+            old = updates.remove_by(self.tables["chunks"], gone)
+            self._finish(
+                old.drop("vector_id").unionByName(fresh["chunks"]), nodes.unionByName(fresh["nodes"]),
+                edges.select("source", "target", "kind", "weight").unionByName(fresh["edges"]), materialize(now, "stamps"), root, kept=old.select("id"),
+            )
         return diff
 
     def watch(self, root: str = ".", interval_ms: int = 300, rounds: int | None = None) -> None:
@@ -193,10 +197,11 @@ class Engine:
         """Hits of a text in fused order, with up to five related nodes each."""
         q = self.spark.createDataFrame([(1, text)], "query_id int, query string")
         c = self.tables["chunks"]
-        words = bm25.search(self.tables["postings"], q, 2 * limit, stats=self.tables["lengths"]) if mode != "dense" else None
-        dense = retrieval.stored_lists(self.tables["features"], q, 2 * limit, self.embedder) if mode != "bm25" else None
-        h = retrieval.hybrid_search(c, q, limit, mode, words, dense).drop("query_id").join(c, "id")
-        h = materialize(h, "hits")
+        with scratch(self.spark):
+            words = bm25.search(self.tables["postings"], q, 2 * limit, stats=self.tables["lengths"]) if mode != "dense" else None
+            dense = retrieval.stored_lists(self.tables["features"], q, 2 * limit, self.embedder) if mode != "bm25" else None
+            h = retrieval.hybrid_search(c, q, limit, mode, words, dense).drop("query_id").join(c, "id")
+            h = outside(h, "hits")
         if not hops:
             return Hits(h.orderBy("rank"))
         seeds = h.where("node_id is not null").select(F.col("node_id").alias("id"))

@@ -11,6 +11,7 @@ from urllib.parse import parse_qs, unquote, urlsplit
 from pyspark.sql import DataFrame
 
 from .api import Engine, to_json
+from .session import scratch
 
 
 def _rows(df: DataFrame) -> list:
@@ -37,6 +38,10 @@ def make_server(engine: Engine, port: int = 8080) -> ThreadingHTTPServer:
             self.reply(204, None)
 
         def do_GET(self) -> None:
+            with scratch(engine.spark):
+                self.get()
+
+        def get(self) -> None:
             url = urlsplit(self.path)
             args = {k: v[0] for k, v in parse_qs(url.query).items()}
             if url.path == "/":
@@ -54,6 +59,10 @@ def make_server(engine: Engine, port: int = 8080) -> ThreadingHTTPServer:
                 self.reply(404, {"error": "no such route"})
 
         def do_POST(self) -> None:
+            with scratch(engine.spark):
+                self.post()
+
+        def post(self) -> None:
             try:
                 body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
             except ValueError:

@@ -8,6 +8,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,11 +84,37 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``materialize`` writes within goes at the end; frames that read it must be used up or saved by then."""
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in own:
+            _remove(spark, path)
+
+
+def outside(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` for what leaves the innermost ``scratch``: it stays until the one around ends, or the application."""
+    scopes = _SCOPES.get()
+    token = _SCOPES.set(scopes[:-1])
+    try:
+        return materialize(df, name)
+    finally:
+        _SCOPES.reset(token)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder, read it back.
 
-    The files survive the loss of executors, unlike a local checkpoint, and go
-    when the application ends.
+    The files survive the loss of executors, unlike a local checkpoint. They go at
+    the end of the ``scratch`` they are made in, else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -93,5 +122,8 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    atexit.register(_remove, spark, path)
+    if scopes := _SCOPES.get():
+        scopes[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

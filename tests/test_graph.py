@@ -50,3 +50,18 @@ def test_snapshot_diff_and_upsert(spark):
     new = spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("d", 1, 1)], "path string, mtime int, length int")
     assert {tuple(r) for r in updates.snapshot_diff(old, new).collect()} == {("b", "update"), ("c", "delete"), ("d", "insert")}
     assert {tuple(r) for r in updates.upsert(old, new, "path").collect()} == {("a", 1, 1), ("b", 2, 1), ("c", 1, 1), ("d", 1, 1)}
+
+
+def test_pairs_of_large_commits(spark):
+    import random
+    from itertools import combinations
+
+    rnd = random.Random(5)
+    rows = [(i, f"h{i}", "s", sorted({f"f{rnd.randrange(14)}" for _ in range(rnd.choice([2, 3, 9, 12]))})) for i in range(25)]
+    df = spark.createDataFrame(rows, "seq bigint, hash string, subject string, files array<string>")
+    want = {}
+    for _, _, _, fs in rows:
+        for p in combinations(fs, 2):
+            want[p] = want.get(p, 0) + 1
+    for large in (0, 4, 8, 300):
+        assert {(r["a"], r["b"]): r["together"] for r in cochange.pairs(df, 2, large).collect()} == {p: n for p, n in want.items() if n >= 2}

@@ -150,3 +150,20 @@ def test_fingerprints_of_a_fixture(spark, tmp_path):
     (tmp_path / "f.json").write_text(json.dumps(x))
     got = {r["mode"]: r["hit_at_1"] for r in Engine(str(tmp_path / "db"), spark).evaluate(str(tmp_path / "f.json")).collect()}
     assert got["bm25"] == 1.0 and got["dense"] == 0.0
+
+
+def test_scratch_files_go(spark):
+    from tessera import session
+
+    def files_of(df):
+        return df.inputFiles()
+
+    with session.scratch(spark):
+        a = session.materialize(spark.range(3), "inner")
+        gone = files_of(a)
+        with session.scratch(spark):
+            b = session.outside(a.where("id > 0"), "outer")
+        assert b.count() == 2
+    import os
+
+    assert gone and not any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in gone)
