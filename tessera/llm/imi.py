@@ -30,7 +30,7 @@ K_NEIGHBOURS = 10
 #: Vectors of a space that its centroids are fitted on at most (smallest hashes), most centroids of
 #: a half, vectors of a cell on average, vectors that a cell's visit has to reach, vectors of a block's part,
 #: and vectors sent to it that one task compares.
-SAMPLE, MOST_CENTROIDS, CELL_ROWS, REACH, PART_ROWS, SHARE_ROWS = 20_000, 1024, 16, 4000, 40_000, 24_000
+SAMPLE, MOST_CENTROIDS, CELL_ROWS, REACH, PART_ROWS, SHARE_ROWS = 20_000, 1024, 16, 4000, 80_000, 40_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -152,7 +152,10 @@ def nearest(
     entries = rows.groupBy("space", "key").agg(F.min("vector").alias("vector")).join(ids, ["space", "key"])
     entries = materialize(entries, "entries")
     totals = {r["space"]: r["c"] for r in entries.groupBy("space").agg(F.count("*").alias("c")).collect()}
-    drawn = entries.select("space", "key", "vector").withColumn("r", F.row_number().over(Window.partitionBy("space").orderBy(F.xxhash64("key")))).where(F.col("r") <= SAMPLE)
+    # only about twice the sample of each space moves before its smallest hashes are ranked
+    most = F.create_map(*(F.lit(x) for n, c in totals.items() for x in (n, min(1.0, (2 * SAMPLE + 1000) / c)))) if totals else F.create_map(F.lit(""), F.lit(1.0))
+    drawn = entries.select("space", "key", "vector").where(F.xxhash64("key") / F.lit(float(1 << 63)) < 2 * most[F.col("space")] - 1)
+    drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy("space").orderBy(F.xxhash64("key")))).where(F.col("r") <= SAMPLE)
     sample: dict[str, list] = defaultdict(list)
     for b in drawn.select("space", "vector").toArrow().to_batches():
         names = b.column(0).to_pylist()
