@@ -312,9 +312,13 @@ def near_duplicate_pairs(texts: DataFrame, id_col: str = "id", column: str = "co
     return far.unionByName(near).groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
 
 
-def near_duplicate_summary(texts: DataFrame, id_col: str = "id", column: str = "content", **how) -> DataFrame:
-    """``(id, class_id, n, copies, links)``: one row for each id and class; copies stay together, links are other classes."""
+def near_duplicate_summary(texts: DataFrame, id_col: str = "id", column: str = "content", smallest: bool = False, **how) -> DataFrame:
+    """``(id, class_id, n, copies, links)``: one row for each id and class; copies stay together, links are other classes.
+
+    A class goes by the hash of its set, with ``smallest`` by its smallest id.
+    """
     links, members = class_links(texts, id_col, column, **how)
     degree = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
-    copies = members.groupBy("class_id").agg(F.count("*").alias("copies"))
-    return members.join(copies, "class_id").join(degree, "class_id", "left").select("id", "class_id", "n", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    per = members.groupBy("class_id").agg(F.count("*").alias("copies"), F.min("id").alias("low")).join(degree, "class_id", "left")
+    name = F.col("low") if smallest else F.col("class_id")
+    return members.join(per, "class_id").select("id", name.alias("class_id"), "n", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -26,8 +26,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each chunk with its class of equal shingle sets and the class's links."""
-    return neardup.near_duplicate_summary(table(spark, sf_dir, "chunks"))
+    """Each chunk with its class of equal shingle sets, under the class's smallest id, and the class's links."""
+    return neardup.near_duplicate_summary(table(spark, sf_dir, "chunks"), smallest=True)
 
 
 @_query
@@ -90,6 +90,13 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(table(spark, sf_dir, "chunks"))
 
 
+@_query
+def p5_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces, counted over all of them."""
+    chunks = table(spark, sf_dir, "chunks")
+    return split.misfits(split.split_oversized(chunks), chunks)
+
+
 @_query
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
@@ -144,6 +151,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""WITH {_SHINGLES} SELECT id_a, id_b FROM (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
             JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.7 * (x.n + y.n - c) - 1e-9""",
+        "p1_classes": f"""WITH {_SHINGLES}, k AS (SELECT id, list_sort(list(s)) AS k, CAST(count(*) AS INT) AS n FROM sh GROUP BY id), c AS (SELECT k, min(id) AS class_id, any_value(n) AS n, count(*) AS copies FROM k GROUP BY k),
+            r AS (SELECT class_id, n, unnest(k) AS s FROM c), p AS (SELECT a.class_id AS x, b.class_id AS y FROM r a JOIN r b ON a.s = b.s AND a.class_id <> b.class_id GROUP BY a.class_id, b.class_id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*)) - 1e-9),
+            l AS (SELECT x AS class_id, count(*) AS links FROM p GROUP BY x)
+            SELECT k.id, c.class_id, c.n, c.copies, coalesce(l.links, 0) AS links FROM k JOIN c USING (k) LEFT JOIN l USING (class_id)""",
         "p3_found": f"""WITH u AS ({usable}), c AS (SELECT a.vector_id AS x, b.vector_id AS y, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM u a JOIN u b ON a.space = b.space AND a.vector_id <> b.vector_id),
             r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS r FROM c)
             SELECT DISTINCT least(x, y) AS vector_id_a, greatest(x, y) AS vector_id_b FROM r WHERE r <= 10 AND c >= 0.85""",
@@ -154,6 +165,8 @@ def oracle_sql() -> dict[str, str]:
             WHERE id IS NOT NULL AND (length(content) > 4000 OR len(regexp_extract_all(content, '[^ \t\r\n]+')) > 320)
             GROUP BY id
         """,
+        "p5_fits": r"""WITH b AS (SELECT DISTINCT id FROM chunks WHERE id IS NOT NULL AND (length(content) > 4000 OR len(regexp_extract_all(content, '[^ \t\r\n]+')) > 320))
+            SELECT count(*) AS items, 0::BIGINT AS too_large, 0::BIGINT AS miscounted, 0::BIGINT AS wrong_overlap, 0::BIGINT AS not_whole, 0::BIGINT AS wrong_lines FROM b""",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p7_fits": "SELECT count(*) AS documents, count(*) FILTER (length(text) > 0) AS sized, 0::BIGINT AS overfull, 0::BIGINT AS cut, 0::BIGINT AS lost, 0::BIGINT AS gaps, true AS filled FROM documents",
         "p8_found": f"WITH {_WINDOWS}, x AS (SELECT DISTINCT doc_id, h FROM w) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id",

@@ -213,3 +213,46 @@ def split_oversized(
                     )
 
     return rows.select("id", "r.content", "r.start_line").mapInArrow(cut, f"id {typ}, piece int, content string, start_line int, end_line int, tokens_approx int, overlap_chars int")
+
+
+def misfits(
+    pieces: DataFrame, chunks: DataFrame, id_col: str = "id", text_col: str = "content", start_col: str = "start_line", max_tokens: int = MAX_TOKENS, max_chars: int = MAX_CHARS,
+    overlap_tokens: int = OVERLAP_TOKENS, overlap_chars: int = OVERLAP_CHARS,
+) -> DataFrame:
+    """One row of what must hold of pieces of items of one text each: ``items`` cut, and counts of what is wrong.
+
+    ``too_large`` pieces, ``miscounted`` tokens, ``wrong_overlap`` (a piece must
+    begin with the end of the one before: its last line if that is small enough,
+    else no more than that), ``not_whole`` items whose pieces without what they
+    repeat do not make up the text, ``wrong_lines`` that do not follow from the text.
+    """
+    typ = dict(chunks.dtypes)[id_col]
+    texts = chunks.groupBy(F.col(id_col).alias("id")).agg(F.min(F.struct(F.col(text_col).alias("content"), F.col(start_col).cast("int").alias("start_line"))).alias("r"))
+    parts = pieces.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("piece", "content", "start_line", "end_line", "tokens_approx", "overlap_chars"))).alias("p"))
+    both = parts.join(texts, "id").select("id", "r.content", "r.start_line", "p")
+    names = ["too_large", "miscounted", "wrong_overlap", "not_whole", "wrong_lines"]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                text, first, ps = (b.column(k)[i].as_py() for k in (1, 2, 3))
+                bad, whole, line, before = [0] * 5, "", first if first is not None else 1, ""
+                for p in ps:
+                    own, o = p["content"], p["overlap_chars"]
+                    count = len(_TOKEN.findall(own))
+                    bad[0] += len(own) > max_chars or count > max_tokens
+                    bad[1] += count != p["tokens_approx"]
+                    # the end of what came before, without its line end, is repeated as far as the limits allow
+                    said, rest = own[:o], whole[len(whole) - len(before) :].rstrip(" \t\r\n")
+                    last = whole[len(whole) - len(before) + rest.rfind("\n") + 1 :]
+                    small = len(last) <= overlap_chars and len(_TOKEN.findall(last)) <= overlap_tokens
+                    fits = 0 < o <= overlap_chars and len(_TOKEN.findall(said)) <= overlap_tokens
+                    bad[2] += o != 0 if not before else not whole.endswith(said) or (said != last if small else not fits)
+                    at = line + whole.count("\n", 0, len(whole) - o)
+                    bad[4] += p["start_line"] != at or p["end_line"] != at + own.count("\n") - own.endswith("\n")
+                    whole, before = whole + own[o:], own[o:]
+                bad[3] = int(whole != text)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *(pa.array([x], pa.int64()) for x in bad)], ["id", *names])
+
+    rows = both.mapInArrow(check, f"id {typ}, " + ", ".join(f"{n} bigint" for n in names))
+    return rows.agg(F.count("*").alias("items"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
