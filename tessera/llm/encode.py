@@ -26,6 +26,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of text in a block; a longer text is a block of its own.
 BLOCK_CHARS = 4_000_000
+#: Tokens of a vocabulary at most.
+MOST_TOKENS = 2_000_000
 
 _CACHE: dict[str, object] = {}
 
@@ -36,15 +38,23 @@ def ranks(tokenizer: str, folder: str = TOKENIZER_DIR) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _encoding(tokenizer: str, folder: str):
+def _encoding(tokenizer: str, folder: str, known: dict[bytes, int] | None = None):
     key = f"{folder}/{tokenizer}"
     if key not in _CACHE:
         import tiktoken
 
-        _CACHE[key] = tiktoken.Encoding(tokenizer, pat_str=PATTERN, mergeable_ranks=ranks(tokenizer, folder), special_tokens={})
+        _CACHE[key] = tiktoken.Encoding(tokenizer, pat_str=PATTERN, mergeable_ranks=known or ranks(tokenizer, folder), special_tokens={})
     return _CACHE[key]
 
 
+def _shared_ranks(df: DataFrame, tokenizer: str, folder: str):
+    """The vocabulary read on the driver and sent to the tasks, so that executors need no file of it; its size is checked."""
+    known = ranks(tokenizer, folder)
+    if len(known) > MOST_TOKENS:
+        raise ValueError("the vocabulary is too large to send to each task")
+    return df.sparkSession.sparkContext.broadcast(known)
+
+
 def _splitter():
     if "split" not in _CACHE:
         import regex
@@ -116,8 +126,10 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     split = materialize(src.mapInArrow(_blocks, f"block bigint, id {typ}, codes binary, words array<string>"), "pretokens")
     words = split.where("words is not null").select("block", F.posexplode("words").alias("code", "word"))
 
+    vocabulary = _shared_ranks(docs, tokenizer, folder)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _encoding(tokenizer, folder).encode_ordinary
+        one = _encoding(tokenizer, folder, vocabulary.value).encode_ordinary
         for b in batches:
             out = [np.array(one(w), np.int32).tobytes() for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["word", "ids"])
@@ -156,10 +168,11 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
-    """``(id_col, text)``: the text of each list of ids, by the token-byte table (one entry a token, bounded)."""
+    """``(id_col, text)``: the text of each list of ids, by the token-byte table, which each task has whole (one entry a token, bounded)."""
+    vocabulary = _shared_ranks(encoded, tokenizer, folder)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {v: k for k, v in ranks(tokenizer, folder).items()}
+        by_id = {v: k for k, v in vocabulary.value.items()}
         for b in batches:
             texts = [None if x is None else b"".join(map(by_id.__getitem__, x)).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, "text"])
