@@ -24,7 +24,7 @@ def main() -> None:
         "status": [],
         "watch": [("path", {"nargs": "?", "default": "."}), ("--debounce", {"type": int, "default": 300})],
         "evaluate": [("fixture", {})],
-        "serve": [("--port", {"type": int, "default": 8080})],
+        "serve": [("--port", {"type": int, "default": 8080}), ("--open", {"action": "store_true"})],
         "ann-benchmark": [("--vectors", {"type": int, "default": 1000}), ("--dimension", {"type": int, "default": 256}), ("--queries", {"type": int, "default": 100}), ("-k", {"type": int, "default": 10})],
         "cold-benchmark": [("--vectors", {"type": int, "default": 1000}), ("--iterations", {"type": int, "default": 5})],
     }
@@ -51,7 +51,7 @@ def main() -> None:
     elif a.what == "serve":
         from .server import serve
 
-        serve(e, a.port)
+        serve(e, a.port, a.open)
     elif a.what == "ann-benchmark":
         from .benchmarks import ann
 

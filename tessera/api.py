@@ -82,7 +82,8 @@ class Engine:
         """Postings and features of chunks; ``given(id, vector)`` are vectors in place of made ones."""
         about = nodes.select(F.col("id").alias("node_id"), "label", "signature", "kind").dropDuplicates(["node_id"])
         c = chunks.join(about, "node_id", "left").withColumn("body", retrieval.body_of(["label"]))
-        over = (given if given is not None else self.spark.createDataFrame([], "id string, vector array<double>")).select("id", F.col("vector").alias("given")).dropDuplicates(["id"])
+        sized = F.when(F.size("vector") == retrieval.DIM, F.col("vector")).otherwise(F.raise_error(F.lit(f"a given vector has not {retrieval.DIM} numbers")).cast("array<double>"))
+        over = (given if given is not None else self.spark.createDataFrame([], "id string, vector array<double>")).select("id", sized.alias("given")).dropDuplicates(["id"])
         c = c.join(over, "id", "left").withColumn("space", retrieval.feature_space(F.col("file_path"), F.coalesce("kind", F.lit("")), F.col("given").isNotNull()))
         cols = ("vector_id", "space", "given")
         if self.embedder is None:
@@ -126,6 +127,7 @@ class Engine:
         per = out["postings"].groupBy("id").agg(F.max("doc_len").alias("n"))
         out["lengths"] = per.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_len"))
         out["postings"] = bm25.clustered(out["postings"])
+        out["features"] = out["features"].repartitionByRange("space", "vector_id").sortWithinPartitions("space", "vector_id")
         out = {k: v.selectExpr(*(f"cast({c} as {t}) as {c}" for c, t in (x.strip().split(" ") for x in SCHEMAS[k].split(",")))) for k, v in out.items()}
         files.save_snapshot(out, self.db_dir)
         self.tables = files.load_snapshot(self.spark, self.db_dir)

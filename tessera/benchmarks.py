@@ -27,6 +27,7 @@ def noisy_queries(vectors: DataFrame, n: int, noise: float = 0.05, seed: int = 4
 
 def ann(spark: SparkSession, vectors: int = 1000, dim: int = 256, queries: int = 100, k: int = 10, seed: int = 42) -> dict:
     """Exact and hyperplane search over synthetic vectors: recall at k and seconds of each for the whole query set."""
+    config = retrieval.LshConfig(bits=4, tables=16, dim=dim)
     v = files.synthetic_vectors(spark, vectors, dim, seed).cache()
     q = noisy_queries(v, queries, seed=seed).cache()
     v.count(), q.count()
@@ -35,14 +36,14 @@ def ann(spark: SparkSession, vectors: int = 1000, dim: int = 256, queries: int =
     gold.count()
     exact = time.time() - began
     began = time.time()
-    near = retrieval.lsh_knn(q, v, k, bits=4, tables=16, dim=dim).select("query_id", "id").cache()
+    near = retrieval.lsh_knn(q, v, k, config).select("query_id", "id").cache()
     near.count()
     approximate = time.time() - began
     # single queries one after another, for the spread of their times
     one = {"exact": [], "approximate": []}
     for i in range(min(5, queries)):
         single = q.where(F.col("query_id") == i)
-        for name, f in (("exact", lambda: retrieval.exact_knn(single, v, k)), ("approximate", lambda: retrieval.lsh_knn(single, v, k, bits=4, tables=16, dim=dim))):  # noqa: B023
+        for name, f in (("exact", lambda: retrieval.exact_knn(single, v, k)), ("approximate", lambda: retrieval.lsh_knn(single, v, k, config))):  # noqa: B023
             began = time.time()
             f().collect()
             one[name].append(time.time() - began)

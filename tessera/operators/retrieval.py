@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 import numpy as np
@@ -115,6 +116,21 @@ def exact_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str =
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+@dataclass(frozen=True)
+class LshConfig:
+    """Options of the hyperplane index: planes a table, tables, length of the vectors, seed, and vectors of a bucket's part.
+
+    More tables find more; more planes examine less. Neighbouring buckets are
+    always probed, so the recall wanted is a matter of these two.
+    """
+
+    bits: int = 12
+    tables: int = 6
+    dim: int = 64
+    seed: int = 17
+    most: int = 400
+
+
 def lsh_candidates(queries: DataFrame, vectors: DataFrame, bits: int = 12, tables: int = 6, dim: int = 64, seed: int = 17, most: int = 400) -> DataFrame:
     """``(query_id, id)`` of ``queries(query_id, vector)`` and ``vectors(id, vector)`` whose buckets of random hyperplanes differ in one plane at most.
 
@@ -143,9 +159,9 @@ def lsh_candidates(queries: DataFrame, vectors: DataFrame, bits: int = 12, table
     return asks.join(members, ["bucket", "part"]).select("query_id", "id").distinct()
 
 
-def lsh_knn(queries: DataFrame, vectors: DataFrame, k: int = 10, **how) -> DataFrame:
+def lsh_knn(queries: DataFrame, vectors: DataFrame, k: int = 10, config: LshConfig | None = None, **how) -> DataFrame:
     """``(query_id, id, cosine, rank)``: the ``k`` nearest among candidates of random hyperplanes, by exact cosine."""
-    c = lsh_candidates(queries, vectors, **how)
+    c = lsh_candidates(queries, vectors, **((asdict(config) if config else {}) | how))
     u = queries.select("query_id", V.normalize(F.col("vector")).alias("u"))
     v = vectors.select("id", V.normalize(F.col("vector")).alias("v"))
     scored = c.join(u, "query_id").join(v, "id").select("query_id", "id", F.round(V.dot(F.col("u"), F.col("v")), 6).alias("cosine"))

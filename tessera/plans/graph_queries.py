@@ -157,19 +157,19 @@ def khop_edges(spark: SparkSession, d: str) -> DataFrame:
     return _khop(spark, d)[1].select("source", "target", "kind")
 
 
-@query(
-    "context_expand",
-    f"""WITH {G}, r AS (SELECT source AS hit, target AS related, 0 AS prio, seq FROM ed WHERE kind IN ('calls', 'references', 'linksto', 'defines')
+_RELATED = f"""WITH {G}, r AS (SELECT source AS hit, target AS related, 0 AS prio, seq FROM ed WHERE kind IN ('calls', 'references', 'linksto', 'defines')
     UNION ALL SELECT target, source, 1, seq FROM ed WHERE kind = 'contains'),
     o AS (SELECT hit, related, min((prio, seq)) AS o FROM r WHERE hit <> related GROUP BY ALL)
-    SELECT hit, related, rank FROM (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY o, related) AS rank FROM o WHERE hit IN (SELECT id FROM nd WHERE kind = 'Function')) WHERE rank <= 5""",
-)
+    SELECT hit, related, rank FROM (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY o, related) AS rank FROM o WHERE hit IN (SELECT id FROM nd WHERE kind = 'Function')) WHERE rank <= 5"""
+
+
+@query("context_expand", _RELATED)
 def context_expand(spark: SparkSession, d: str) -> DataFrame:
     """Up to five related nodes of every function; ``context_expand_whole`` takes nodes of all kinds."""
     return graph.context_expand(edges(spark, d), nodes(spark, d).where("kind = 'Function'")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("context_expand_whole")
+@query("context_expand_whole", _RELATED.replace("WHERE kind = 'Function'", ""))
 def context_expand_whole(spark: SparkSession, d: str) -> DataFrame:
     """Up to five related nodes of every node."""
     return graph.context_expand(edges(spark, d), nodes(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))

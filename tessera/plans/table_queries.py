@@ -125,11 +125,14 @@ def topk_per_query(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 5").select("event_type", "event_id", "value", "rank")
 
 
+_LSH = retrieval.LshConfig(bits=6, tables=12)
+
+
 @query("ann_lsh")
 def ann_lsh(spark: SparkSession, d: str) -> DataFrame:
     """Near vectors of every fiftieth one by random hyperplanes, ranked exactly."""
     e = _embeddings(spark, d)
-    return retrieval.lsh_knn(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), e, 10, bits=6, tables=12)
+    return retrieval.lsh_knn(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), e, 10, _LSH)
 
 
 @query("ann_recall")
@@ -138,7 +141,7 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     e = _embeddings(spark, d)
     q = e.where("id % 50 = 0").withColumnRenamed("id", "query_id")
     gold = retrieval.exact_knn(q, e, 10)
-    found = retrieval.lsh_knn(q, e, 10, bits=6, tables=12)
+    found = retrieval.lsh_knn(q, e, 10, _LSH)
     return evaluate.recall(found.select("query_id", "id"), gold.select("query_id", "id"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import bm25, retrieval, updates
+from ..operators import bm25, evaluate, retrieval, updates
 from ..session import materialize, table
 from ..sources import parsers
 from .catalog import query
@@ -285,6 +285,30 @@ def search_dense_mode(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d, "dense")
 
 
+_MODES = (("bm25", True, False), ("dense", False, True), ("hybrid", True, True))
+
+
+@query(
+    "eval_modes",
+    f"""WITH {CH}, {QUERIES_SQL}, h AS ({' UNION ALL '.join(f"SELECT '{m}' AS mode, query_id, id, rank FROM ({_fuse_sql(w, v)})" for m, w, v in _MODES)}),
+    rel AS (SELECT query_id, id FROM qs JOIN ch ON ch.vector_id % 4 = query_id % 4), n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id),
+    g AS (SELECT mode, query_id, n, count(r.id) AS hits, min(CASE WHEN r.id IS NOT NULL THEN rank END) AS first FROM h JOIN n USING (query_id) LEFT JOIN rel r USING (query_id, id) GROUP BY ALL)
+    SELECT mode, CASE WHEN query_id % 2 = 0 THEN 'exact' ELSE 'semantic' END AS kind, count(*) AS queries, round(avg(hits / n), 6) AS recall_at_5, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr,
+        round(avg(CASE WHEN first = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_at_1 FROM g GROUP BY ALL""",
+)
+def eval_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the searches by mode and kind, against a fixed labelling of all chunks."""
+    c, q = _chunks(spark, d).select("id", "file_path", "content", "vector_id"), _searches(spark)
+    rel = c.where("vector_id is not null").select("id", (F.col("vector_id") % 4).alias("m")).join(q.select("query_id", (F.col("query_id") % 4).cast("bigint").alias("m")), "m").select("query_id", "id", F.lit(1).alias("grade"))
+    kinds = q.select("query_id", F.when(F.col("query_id") % 2 == 0, "exact").otherwise("semantic").alias("kind"))
+    out = None
+    for mode, _, _ in _MODES:
+        m = evaluate.by_kind(evaluate.metrics(retrieval.hybrid_search(c, q, 5, mode), rel), kinds)
+        m = m.select(F.lit(mode).alias("mode"), "kind", "queries", *(F.round(x, 6).alias(x) for x in ("recall_at_5", "mrr", "hit_at_1")))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 @query("rank_lists", f"WITH {BM25}, {DENSE} SELECT query_id, id, rank, CAST(list_no AS BIGINT) AS list_no FROM (SELECT query_id, id, rank, 0 AS list_no FROM bm UNION ALL SELECT query_id, id, rank, list_no FROM dr) WHERE rank <= 10")
 def rank_lists(spark: SparkSession, d: str) -> DataFrame:
     """The three lists that are fused, with ranks."""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import evaluate
 
 #: Folders that are not scanned, besides those whose name begins with a point; fixed values.
 SKIP_FOLDERS = ("target", "node_modules", "dist", "build")
@@ -106,7 +107,7 @@ def fixture(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         raise ValueError("the fixture has no documents or no queries")
     if not docs.groupBy("id").count().where("count > 1").isEmpty():
         raise ValueError("the fixture repeats a document id")
-    if not qrels.where("id is null").isEmpty() or not qrels.join(docs, "id", "left_anti").isEmpty():
+    if not qrels.where("id is null").isEmpty() or not evaluate.validate_qrels(qrels, docs).where("problem = 'unknown id'").isEmpty():
         raise ValueError("a query has no labels or labels an unknown document")
     return docs, qrels
 

@@ -40,6 +40,8 @@ def test_server_and_hook(spark, tmp_path):
     assert ask("/api/chunk/" + found["hits"][0]["id"].replace(":", "%3A"))[1]["content"].startswith("def load")
     assert ask("/api/chunk/x")[0] == 404 and len(ask("/api/graph")[1]["nodes"]) == 2
     assert "load_table" in ask("/api/llm-context?q=load%20table")[1]["context"]
+    with urllib.request.urlopen(url + "/") as r:
+        assert r.headers["Content-Type"].startswith("text/html") and b"/api/search" in r.read()
     s.shutdown()
     assert hook.leads({"cwd": str(root), "prompt": "where is load_table defined"}, e) == ["a.py:1"]
     assert hook.leads({"cwd": str(root), "prompt": "short"}, e) == []
@@ -107,6 +109,8 @@ def test_stored_index(spark, tmp_path):
     e.index(str(root), spark.createDataFrame([(one, [1.0] + [0.0] * 255)], "id string, vector array<double>"))
     assert [r["id"] for r in e.tables["features"].where("space = 'BinaryFingerprint'").collect()] == [one]
     assert "b.md" not in hits(e, "dense") and hits(e, "bm25") == ["b.md"]
+    with pytest.raises(Exception, match="a given vector"):
+        e.index(str(root), spark.createDataFrame([(one, [1.0])], "id string, vector array<double>"))
     e.rebuild()
     assert [r["id"] for r in e.tables["features"].where("space = 'BinaryFingerprint'").collect()] == [one]
     e.remove_files(["b.md"])
