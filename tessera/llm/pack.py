@@ -28,11 +28,11 @@ from ..session import materialize
 
 CAPACITY = 2048
 #: Rounds of multiplicative weights, and the share of a size's need that one round may cover.
-ROUNDS, SHARE = 60, 0.2
+ROUNDS, SHARE = 60, 0.3
 #: Relative change of a price in a round: while prices are learnt, falling with the rounds; least, first and most while they are used.
 LEARN, STEPS = 0.1, (5e-5, 2e-4, 0.05)
 #: Spread of the draw among sizes of nearly equal worth, in units of room, and how many of them are kept for each room.
-SPREAD, CHOICES = 0.1, 12
+SPREAD, CHOICES = 0.4, 12
 #: Containers of the program against those of best fit alone from which the latter is taken.
 GUARD = 1.0005
 #: Rows of one size that one task ranks.
@@ -212,7 +212,7 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, m
         left = +left
         if not left or room(left) <= 0.05 * room(start):
             break
-        made = sorted(fractional(dict(left), capacity, rounds, learn=turn == 0).weights, key=lambda x: -x[1])
+        made = sorted(fractional(dict(left), capacity, rounds if turn == 0 else rounds // 2, learn=turn == 0).weights, key=lambda x: -x[1])
         placed = 0
         # whole copies first; then one more of each that wastes next to nothing, while its sizes last
         for down in (True, False):

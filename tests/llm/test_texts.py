@@ -121,7 +121,7 @@ def test_program_over_many_sizes_is_near_its_bound(seed):
     rnd = random.Random(seed)
     hist = Counter(min(2047, 1 + int(rnd.expovariate(1 / 350))) for _ in range(9000))
     x = P.fractional(hist, 2048)
-    assert x.objective <= 1.02 * x.bound and x.by_weights >= 0.5 * x.objective
+    assert x.objective <= 1.02 * x.bound and x.by_weights >= 0.9 * x.objective
     assert sum(c for _, c in P.plan(hist, 2048)) <= 1.001 * x.bound + 2
 
 
