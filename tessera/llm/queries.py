@@ -92,7 +92,7 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def p5_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold of the pieces, counted over all of them."""
+    """What must hold of the pieces of each chunk that is cut."""
     chunks = table(spark, sf_dir, "chunks")
     return split.misfits(split.split_oversized(chunks), chunks)
 
@@ -166,7 +166,7 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY id
         """,
         "p5_fits": r"""WITH b AS (SELECT DISTINCT id FROM chunks WHERE id IS NOT NULL AND (length(content) > 4000 OR len(regexp_extract_all(content, '[^ \t\r\n]+')) > 320))
-            SELECT count(*) AS items, 0::BIGINT AS too_large, 0::BIGINT AS miscounted, 0::BIGINT AS wrong_overlap, 0::BIGINT AS not_whole, 0::BIGINT AS wrong_lines FROM b""",
+            SELECT id, 0::BIGINT AS too_large, 0::BIGINT AS miscounted, 0::BIGINT AS wrong_overlap, 0::BIGINT AS not_whole, 0::BIGINT AS wrong_lines FROM b""",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p7_fits": "SELECT count(*) AS documents, count(*) FILTER (length(text) > 0) AS sized, 0::BIGINT AS overfull, 0::BIGINT AS cut, 0::BIGINT AS lost, 0::BIGINT AS gaps, true AS filled FROM documents",
         "p8_found": f"WITH {_WINDOWS}, x AS (SELECT DISTINCT doc_id, h FROM w) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id",

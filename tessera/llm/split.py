@@ -219,7 +219,7 @@ def misfits(
     pieces: DataFrame, chunks: DataFrame, id_col: str = "id", text_col: str = "content", start_col: str = "start_line", max_tokens: int = MAX_TOKENS, max_chars: int = MAX_CHARS,
     overlap_tokens: int = OVERLAP_TOKENS, overlap_chars: int = OVERLAP_CHARS,
 ) -> DataFrame:
-    """One row of what must hold of pieces of items of one text each: ``items`` cut, and counts of what is wrong.
+    """For each item of one text that is cut, ``(id, too_large, miscounted, wrong_overlap, not_whole, wrong_lines)``: counts of what is wrong.
 
     ``too_large`` pieces, ``miscounted`` tokens, ``wrong_overlap`` (a piece must
     begin with the end of the one before: its last line if that is small enough,
@@ -254,5 +254,4 @@ def misfits(
                 bad[3] = int(whole != text)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *(pa.array([x], pa.int64()) for x in bad)], ["id", *names])
 
-    rows = both.mapInArrow(check, f"id {typ}, " + ", ".join(f"{n} bigint" for n in names))
-    return rows.agg(F.count("*").alias("items"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
+    return both.mapInArrow(check, f"id {typ}, " + ", ".join(f"{n} bigint" for n in names))
