@@ -50,10 +50,10 @@ def pairs(commits: DataFrame, least: int = 2, large: int = LARGE) -> DataFrame:
     often = f.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     f = f.join(often.select("file"), "file", "left_semi")
     wide = f.groupBy("hash").agg(F.count("*").alias("c")).where(F.col("c") > large).select("hash")
-    small = _pairs_of(f.join(wide, "hash", "left_anti"))
-    if least < 2:
+    if least < 2 or wide.isEmpty():
         both = _pairs_of(f)
     else:
+        small = _pairs_of(f.join(wide, "hash", "left_anti"))
         big = f.join(wide, "hash", "left_semi")
         # pairs of small commits, counted in the large ones as well
         in_small = small.withColumnRenamed("together", "x")
