@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cochange, graph, hierarchy
-from ..session import table
+from ..session import materialize, table
 from .catalog import query
 
 ND = """nd AS (SELECT id, min(label) AS label, min(kind) AS kind, min(file_path) AS file_path, min(chunk_id) AS chunk_id, min(vector_id) AS vector_id FROM
@@ -142,7 +142,7 @@ KHOP = f"""{G}, bo AS (SELECT source AS a, target AS b FROM ed UNION SELECT targ
 
 
 def _khop(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return graph.k_hop(edges(spark, d), nodes(spark, d), spark.createDataFrame([(SEED,)], "id string"), 2)
+    return graph.k_hop(materialize(edges(spark, d), "edges"), materialize(nodes(spark, d), "nodes"), spark.createDataFrame([(SEED,)], "id string"), 2)
 
 
 @query("khop_nodes", f"WITH {KHOP} SELECT id, hop FROM kh")
@@ -182,8 +182,8 @@ IMPACT = f"""{G}, tg AS (SELECT id FROM nd WHERE label = 'unwrap_slot'), bk AS (
 
 
 def _impact(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d)
-    return graph.impact(edges(spark, d), n, n.where("label = 'unwrap_slot'"), 2)
+    n = materialize(nodes(spark, d), "nodes")
+    return graph.impact(materialize(edges(spark, d), "edges"), n, n.where("label = 'unwrap_slot'"), 2)
 
 
 @query("impact_callers", f"WITH {IMPACT} SELECT target, id, depth FROM im WHERE depth > 0")
