@@ -341,15 +341,16 @@ def misfits(packed: DataFrame, items: DataFrame, id_col: str = "doc_id", size_co
     parts = packed.groupBy(id_col).agg(F.sum("size").alias("s"), F.count("*").alias("pieces"))
     both = items.select(id_col, F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)), F.lit(0)).alias("n")).join(parts, id_col, "full")
     own = both.agg(
+        F.lit(1).alias("k"),
         F.count("s").alias("items"),
         F.count_if(F.col("s") > 0).alias("sized"),
         F.count_if((F.col("n") <= capacity) & (F.col("pieces") > 1)).alias("cut"),
         F.count_if(~F.col("n").eqNullSafe(F.col("s"))).alias("lost"),
     )
     box = packed.where("size > 0").groupBy("container").agg(F.sum("size").alias("s"))
-    full = box.agg(F.count_if(F.col("s") > capacity).alias("overfull"), F.coalesce(F.max("container") + 1 - F.count("*"), F.lit(0)).alias("gaps"), F.count("*").alias("boxes"), F.coalesce(F.sum("s"), F.lit(0)).alias("tokens"))
+    full = box.agg(F.lit(1).alias("k"), F.count_if(F.col("s") > capacity).alias("overfull"), F.coalesce(F.max("container") + 1 - F.count("*"), F.lit(0)).alias("gaps"), F.count("*").alias("boxes"), F.coalesce(F.sum("s"), F.lit(0)).alias("tokens"))
     filled = (F.col("tokens") >= 0.98 * capacity * F.col("boxes")) | (F.col("boxes") <= F.ceil(F.col("tokens") / capacity) + 1)
-    return own.crossJoin(F.broadcast(full)).select("items", "sized", "overfull", "cut", "lost", "gaps", filled.alias("filled"))
+    return own.join(full, "k").select("items", "sized", "overfull", "cut", "lost", "gaps", filled.alias("filled"))
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
