@@ -104,7 +104,9 @@ def search(tf: DataFrame, queries: DataFrame, limit: int | None = 10, k1: float
     # a bounded list of terms; beyond it a join
     hits = tf.where(F.col("term").isin(few)) if few is not None else tf.join(q.select("term").distinct(), "term", "left_semi")
     row = (stats if stats is not None else corpus_stats(tf)).first()
-    n_docs, avg_len = F.lit(row["n_docs"] or 0), F.lit(max(1.0, float(row["avg_len"] or 0)))
+    # no row: nothing is stored
+    n_docs, avg_len = (row["n_docs"] or 0, float(row["avg_len"] or 0)) if row else (0, 0.0)
+    n_docs, avg_len = F.lit(n_docs), F.lit(max(1.0, avg_len))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     post = hits.join(df.join(q, "term"), "term")
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

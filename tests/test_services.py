@@ -171,3 +171,9 @@ def test_scratch_files_go(spark):
     import os
 
     assert gone and not any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in gone)
+
+
+def test_search_where_nothing_is_stored(spark, tmp_path):
+    e = Engine(str(tmp_path / "none"), spark)
+    assert [e.search("any words", 3, 1, m).hits.collect() for m in ("hybrid", "bm25", "dense")] == [[], [], []]
+    assert "Nothing relevant" in e.context("any words")
