@@ -86,3 +86,32 @@ def test_visit_goes_by_summed_distance():
     i, j = divmod(7, m.k2)
     d = [((m.c[0][c // m.k2] - m.c[0][i]) ** 2).sum() + ((m.c[1][c % m.k2] - m.c[1][j]) ** 2).sum() for c in order]
     assert len(order) == len(m.counts) and np.all(np.diff(d) > -1e-4)
+
+
+def test_pairs_far_from_their_centroids_are_found(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((5000, 64))
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(x)
+    noise = rng.standard_normal((400, 64))
+    noise = unit(noise - (noise * x[:400]).sum(1, keepdims=True) * x[:400])
+    both = np.concatenate((x, 0.9 * x[:400] + np.sqrt(1 - 0.81) * noise))
+    got = {(r["id_a"], r["id_b"]) for r in imi.similar_pairs(frame(spark, [(i, "Text", v.tolist()) for i, v in enumerate(both)]), reach=200).collect()}
+    assert len(got & {(i, 5000 + i) for i in range(400)}) >= 392 and len(got) <= 400
+
+
+def test_visits_in_step_end_where_the_heap_does(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((900, 8)).astype(np.float32)
+    m = imi.MultiIndex(x, 900, 3)
+    cells, n = np.unique(m.cells(x), return_counts=True)
+    m.counts = dict(zip(cells.tolist(), n.tolist()))
+    for steps in (1024, 5):
+        monkeypatch.setattr(imi, "STEPS", steps)
+        end, to = m.visits(x[:40], 60)
+        for i, (d1, d2) in enumerate(zip(*m.apart(x[:40]))):
+            got = np.array(m.visit((d1, d2), 60))
+            assert abs((d1[got // m.k2] + d2[got % m.k2]).max() - end[i]) < 1e-4
+            assert set(m.block(got)) == set(np.flatnonzero(to[i]))
+    end, to = m.visits(x[:2], 10**6)
+    assert np.all(end == np.inf) and set(np.flatnonzero(to[0])) == set(m.block(cells))
